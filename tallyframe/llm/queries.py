@@ -4,10 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyframe.llm import split, survivor, tokenize
+from tallyframe.llm import addresses, currency, names, split, survivor, tokenize
 from tallyframe.session import read_table
 
 
+NAME_FIELDS = ["seller_name", "buyer_name"]
+ADDRESS_FIELDS = ["seller_address", "buyer_address"]
+
+
+def p1_found(spark, d):
+    return names.linked_pairs(names.attributed_names(read_table(spark, d, "invoices"), NAME_FIELDS))
+
+
+def p1_entities(spark, d):
+    return names.entity_sizes(names.attributed_names(read_table(spark, d, "invoices"), NAME_FIELDS))
+
+
+def p2_found(spark, d):
+    return currency.invoice_currencies(read_table(spark, d, "invoices"), read_table(spark, d, "currency_list"))
+
+
+def p2_values(spark, d):
+    return currency.map_values(read_table(spark, d, "invoices"), read_table(spark, d, "currency_list"), "currency")
+
+
+def p4_found(spark, d):
+    return addresses.linked_addresses(read_table(spark, d, "invoices"), ADDRESS_FIELDS)
+
+
+def p4_places(spark, d):
+    return names.entity_sizes(addresses.attributed_addresses(read_table(spark, d, "invoices"), ADDRESS_FIELDS))
+
+
 def p3_found(spark, d):
     return split.oversized_pages(read_table(spark, d, "page_infos"))
 
@@ -30,7 +58,10 @@ def p8_ids(spark, d):
 
 
 def queries():
-    return {"p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_survivors": p6_survivors, "p8_ids": p8_ids}
+    return {
+        "p1_found": p1_found, "p1_entities": p1_entities, "p2_found": p2_found, "p2_values": p2_values, "p4_found": p4_found, "p4_places": p4_places,
+        "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_survivors": p6_survivors, "p8_ids": p8_ids,
+    }
 
 
 def oracle_sql():
