@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyframe.llm import addresses, currency, names, split, survivor, tokenize
+from tallyframe.llm import abuse, addresses, currency, leakage, names, split, survivor, tokenize
 from tallyframe.session import read_table
 
 
@@ -57,10 +57,30 @@ def p8_ids(spark, d):
     return tokenize.encode_documents(read_table(spark, d, "documents"))
 
 
+def p9_found(spark, d):
+    return p9_leaks(spark, d).select("doc_id", "item_id")
+
+
+def p9_leaks(spark, d):
+    return leakage.find_leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
+
+
+def p10_found(spark, d):
+    return abuse.score_documents(read_table(spark, d, "documents")).where("flagged").select("doc_id").distinct()
+
+
+def p10_scores(spark, d):
+    return abuse.score_documents(read_table(spark, d, "documents"))
+
+
+def p10_rates(spark, d):
+    return abuse.source_rates(read_table(spark, d, "documents"))
+
+
 def queries():
     return {
         "p1_found": p1_found, "p1_entities": p1_entities, "p2_found": p2_found, "p2_values": p2_values, "p4_found": p4_found, "p4_places": p4_places,
-        "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_survivors": p6_survivors, "p8_ids": p8_ids,
+        "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_survivors": p6_survivors, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates,
     }
 
 
