@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tallyframe.plans import problems
+from tallyframe.plans import problems, reference
 
 
 def queries():
-    return dict(problems.QUERIES)
+    return {**reference.Q, **problems.QUERIES}
 
 
 def oracle_sql():
-    return {}
+    return dict(reference.SQL)
