@@ -76,6 +76,7 @@ _MARK = re.compile(r"^(?:no|nr|n|num|numero|number|hausnr|hnr|n°|°)$")
 
 _AFTER = {a: k for k, v in TYPES_AFTER.items() for a in [k, *v.split()]}
 _BEFORE = {a: k for k, v in TYPES_BEFORE.items() for a in [k, *v.split()]}
+_SHARED = {"av": "avenida", "ave": "avenida", "pl": "plaza"}  # abbreviations that mean a Spanish type if the number stands behind
 _JOINED = {a: k for k, v in TYPES_JOINED.items() for a in [k, *v.split()]}
 
 
@@ -89,17 +90,22 @@ def _is_street_word(word: str) -> bool:
     return bool(_type(word, _AFTER) or _type(word, _BEFORE)) or any(len(word) > len(x) + 2 and len(x) > 1 and word.endswith(x) for x in _JOINED)
 
 
-def _street(words: list[str]) -> tuple[str, list[str]]:
-    """(street in one order, words behind it) of the words of a street without its number."""
+def _street(words: list[str], number_behind: bool = False) -> tuple[str, list[str]]:
+    """(street in one order, words behind it) of the words of a street without its number.
+
+    Where the number stands behind the street, a type behind the name is a German one.
+    """
     if not words:
         return "", []
     first = _type(words[0], _BEFORE)
+    if number_behind and words[0] in _SHARED:
+        first = _SHARED[words[0]]
     if first and len(words) > 1:
         return f"{first} {words[1]}", words[2:]
     for i in range(1, len(words)):
         joined = words[i] in ("platz", "strasse", "weg", "allee", "gasse", "ufer", "damm", "ring", "markt")
-        if joined:
-            return "".join(words[:i]) + words[i], words[i + 1 :]
+        if joined or (number_behind and words[i] in _JOINED):
+            return "".join(words[:i]) + _JOINED[words[i]], words[i + 1 :]
         kind = _type(words[i], _AFTER)
         if kind:
             return " ".join([*words[:i], kind]), words[i + 1 :]
@@ -179,7 +185,7 @@ def parse_address(value: str) -> tuple[str, str, str, str, str]:
     if i == 0:
         street, tail = _street(words[j:])
     else:
-        street, left = _street(words[:i])
+        street, left = _street(words[:i], True)
         tail = left + words[j:]
     town = " ".join([*others, " ".join(tail)]).strip()
     return number, street, " ".join(town.replace("-", " ").split()), post, region

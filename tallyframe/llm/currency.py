@@ -33,7 +33,7 @@ from tallyframe.llm.spelling import fold, within_one
 SPELLINGS: dict[str, tuple[str, str, str]] = {
     "AED": ("uae|emirati|emirates", "dirham|dirhams|dhs", "dh uae"),
     "AUD": ("australian|austr|aussie|aus", "dollar|dollars", "a$|au$|aud$"),
-    "BRL": ("brazilian|braz|bras", "real|reais|reals", "reais|r$"),
+    "BRL": ("brazilian|braz|bras|brasileiro", "real|reais|reals", "reais|r$"),
     "CAD": ("canadian|can|cdn|canadiens", "dollar|dollars", "c$|ca$|cdn$|cad$|cdn"),
     "CHF": ("swiss|schweizer|suisse|suisses|suizos|sw", "franc|francs|franken|francos", "sfr|sfr.|fr.|chfr|franken"),
     "CNY": ("chinese|china", "yuan|renminbi|yuan renminbi", "renminbi|rmb|yuan|cn¥|人民币|元"),
@@ -55,7 +55,7 @@ SPELLINGS: dict[str, tuple[str, str, str]] = {
     "SGD": ("singapore|sing|singapur", "dollar|dollars", "s$|sg$"),
     "TRY": ("turkish|turk|turkische", "lira|liras|lirasi|lire", "₺|tl"),
     "USD": ("us|united states|american|americanos|usa|u.s.", "dollar|dollars|dolares", "us$|usd$|$us"),
-    "ZAR": ("south african|sa|sudafrikanische", "rand|rands", "rand|rands"),
+    "ZAR": ("south african|s african|sa|sudafrikanische", "rand|rands", "rand|rands"),
 }
 
 # Codes of other currencies and of none, never a slip of a listed code.

@@ -12,7 +12,7 @@ distinct spellings: a partner with a third of all rows costs one row.
 
 Defined results: null and blank values are no case. Firms of one name element but another line
 of business or another stated legal form are different, and so are persons and firms. A
-spelling too bare to tell (only the element, several candidates) goes to the likeliest.
+spelling of nothing but the element is linked only if the element has a single partner.
 ``linked_pairs`` gives every pair of different stored values of one entity, as the result asks;
 ``attributed_names`` gives one row a value with the entity's id. Extra columns are not read.
 """
@@ -57,7 +57,7 @@ GIVEN = {
 # Legal forms by their folded words without dots, longest first when read.
 LEGAL = {
     "pty ltd": "pty", "pty limited": "pty", "proprietary limited": "pty", "ltd": "ltd", "limited": "ltd", "gmbh": "gmbh", "gesmbh": "gmbh", "mbh": "gmbh",
-    "gesellschaft mit beschrankter haftung": "gmbh", "sarl": "sarl", "sa rl": "sarl", "s a rl": "sarl", "societe a responsabilite limitee": "sarl",
+    "gesellschaft mit beschrankter haftung": "gmbh", "gesellschaft mbh": "gmbh", "ges mbh": "gmbh", "sarl": "sarl", "sa rl": "sarl", "s a rl": "sarl", "societe a responsabilite limitee": "sarl",
     "sl": "sl", "sociedad limitada": "sl", "sa": "sa", "societe anonyme": "sa", "sociedad anonima": "sa", "ag": "ag", "aktiengesellschaft": "ag",
     "kg": "kg", "kommanditgesellschaft": "kg", "oy": "oy", "oyj": "oy", "osakeyhtio": "oy", "inc": "inc", "incorporated": "inc", "llc": "llc",
     "limited liability company": "llc", "co": "co", "& co": "co", "and co": "co", "comp": "co", "company": "co", "corp": "corp", "corporation": "corp",
@@ -83,12 +83,10 @@ def _trade(token: str, dotted: bool) -> list[tuple[str, float]]:
     if token in TRADES:
         return [("t:" + token, 0.0)]
     slips = [("t:" + t, LN_SLIP) for t in TRADES if len(token) >= 4 and within_one(token, t)]
-    if slips:
-        return slips
     few_vowels = sum(c in _VOWELS for c in token) <= 1
-    out = []
+    out = list(slips)
     for t in TRADES:
-        if len(token) < 3 or len(token) >= len(t) or token[0] != t[0]:
+        if slips and not dotted or len(token) < 3 or len(token) >= len(t) or token[0] != t[0]:
             continue
         stem = token[:-1] if token.endswith("s") and len(token) > 4 else token
         if t.startswith(stem) and (dotted or len(token) >= 4):
@@ -158,8 +156,9 @@ def parse_name(name: str) -> tuple[str, str, list[tuple[str, float]], str]:
     anchor = max(rest, key=lambda w: (len(w), w))
     others = sorted(w for w in rest if w != anchor)
     if trades:
-        keys = {k: 0.0 for k, _ in trades[0][1]}
-        keys = {k: p for k, p in trades[0][1]}
+        keys: dict[str, float] = {}
+        for k, p in trades[0][1]:
+            keys[k] = max(p, keys.get(k, p))
         return "firm", anchor, sorted(keys.items()), legal
     if legal or group:
         if others:
@@ -254,7 +253,15 @@ def attributed_names(rows: DataFrame, columns: list[str]) -> DataFrame:
     for _ in range(2):
         step = pointers.select(F.col("sig").alias("to"), F.col("to").alias("next"))
         pointers = pointers.join(step, "to").select("sig", F.when(F.col("next") == F.col("sig"), F.least("sig", "to")).otherwise(F.col("next")).alias("to"))
-    return signed.select("name", "n", "sig").join(pointers, "sig").select("name", "n", F.col("to").alias("entity"))
+    # A bare element is the only partner of that element, if there is just one.
+    bare = signatures.where("kind = 'bare'").select("sig", "anchor", F.explode("near").alias("form"))
+    owners = canon.select("c_sig", "c_anchor", "form").distinct().join(pointers.select(F.col("sig").alias("c_sig"), "to"), "c_sig")
+    sole = (
+        bare.join(owners, "form").where((F.col("anchor") == F.col("c_anchor")) | _near("anchor", "c_anchor"))
+        .groupBy("sig").agg(F.min("to").alias("lo"), F.max("to").alias("hi")).where("lo = hi").select("sig", F.col("lo").alias("owner"))
+    )
+    ends = pointers.join(sole, "sig", "left").select("sig", F.coalesce("owner", "to").alias("entity"))
+    return signed.select("name", "n", "sig").join(ends, "sig").select("name", "n", "entity")
 
 
 def linked_pairs(attributed: DataFrame, value: str = "name", left: str = "name_a", right: str = "name_b") -> DataFrame:

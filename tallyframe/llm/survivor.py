@@ -36,8 +36,13 @@ PLACEHOLDERS = [
 
 
 def is_stated(col: Column) -> Column:
-    """True where the text states something; false for null, blanks and placeholders."""
-    return F.coalesce(~F.lower(strip(col)).isin(PLACEHOLDERS), F.lit(False))
+    """True where the text states something; false for null, blanks and placeholders, also slightly mistyped long ones."""
+    text = F.lower(strip(col))
+    mistyped = F.lit(False)
+    for word in ("unknown", "not stated"):
+        close = (F.char_length(text) >= len(word) - 2) & (F.char_length(text) <= len(word) + 2)
+        mistyped |= F.when(close, F.levenshtein(text, F.lit(word)) <= 2).otherwise(False)
+    return F.coalesce(~(text.isin(PLACEHOLDERS) | mistyped), F.lit(False))
 
 
 def best_representatives(routes: DataFrame, trust: DataFrame, half_life_days: float = 90.0) -> DataFrame:
