@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ from tallyframe.functions.text import strip
 MONEY = "decimal(28,10)"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def coerce_decimal(col: Column, kind: str = MONEY) -> Column:
     """Typed or printed amount to a decimal; null when it is none.
 
@@ -17,19 +24,23 @@ def coerce_decimal(col: Column, kind: str = MONEY) -> Column:
     minus is dropped. With both separators the last one is the decimal mark; commas alone
     are decimal only when there is exactly one with one or two digits behind it.
     """
-    text = strip(col)
-    bracketed = text.rlike(r"^\(.*\)$")
-    kept = F.regexp_replace(text, r"[^0-9.,\-]", "")
-    both = F.contains(kept, F.lit(",")) & F.contains(kept, F.lit("."))
-    comma_last = F.instr(F.reverse(kept), ",") < F.instr(F.reverse(kept), ".")
-    plain = (
-        F.when(both & comma_last, F.replace(F.replace(kept, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
-        .when(both, F.replace(kept, F.lit(","), F.lit("")))
-        .when(kept.rlike(r"^-?\d*,\d{1,2}$"), F.replace(kept, F.lit(","), F.lit(".")))
-        .otherwise(F.replace(kept, F.lit(","), F.lit("")))
-    )
-    number = F.when(plain != "", plain).try_cast(kind)
-    return F.when(bracketed & (number > 0), -number).otherwise(number)
+
+    def of(text: Column) -> Column:
+        def number(kept: Column) -> Column:
+            both = F.contains(kept, F.lit(",")) & F.contains(kept, F.lit("."))
+            comma_last = F.instr(F.reverse(kept), ",") < F.instr(F.reverse(kept), ".")
+            plain = (
+                F.when(both & comma_last, F.replace(F.replace(kept, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
+                .when(both, F.replace(kept, F.lit(","), F.lit("")))
+                .when(kept.rlike(r"^-?\d*,\d{1,2}$"), F.replace(kept, F.lit(","), F.lit(".")))
+                .otherwise(F.replace(kept, F.lit(","), F.lit("")))
+            )
+            return F.nullif(plain, F.lit("")).try_cast(kind)
+
+        value = let(F.regexp_replace(text, r"[^0-9.,\-]", ""), number)
+        return let(value, lambda v: F.when(text.rlike(r"^\(.*\)$") & (v > 0), -v).otherwise(v))
+
+    return let(strip(col), of)
 
 
 def ratio(num: Column, den: Column, places: int = 4) -> Column:
