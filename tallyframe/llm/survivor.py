@@ -54,38 +54,37 @@ def best_representatives(routes: DataFrame, trust: DataFrame, half_life_days: fl
     """
     ranks = trust.select(F.lower(strip(F.col("provider"))).alias("_p"), "trust_rank").groupBy("_p").agg(F.min("trust_rank").alias("_rank"))
     days = (F.unix_micros(F.col("extracted_at").cast("timestamp")) / 86_400_000_000) - F.lit(18262.0)
-    bits = [F.when(is_stated(F.col("invoice")[f]), F.lit(1 << i)).otherwise(0) for i, f in enumerate(HEADER)]
-    mask = bits[0]
-    for b in bits[1:]:
-        mask = mask.bitwiseOR(b)
     items = F.col("invoice")["line_items"]
+    # One array of the stated header fields, its expressions built once for all fields.
+    raw = F.array(*[F.struct(F.lit(1 << i).alias("bit"), F.lit(f).alias("field"), F.col("invoice")[f].alias("raw")) for i, f in enumerate(HEADER)])
     rows = (
         routes.select("route_id", "source_file", "pages", "provider", "extracted_at", "invoice")
         .where(F.col("source_file").isNotNull() & F.col("pages").isNotNull())
+        .withColumn("_stated", F.filter(raw, lambda e: is_stated(e["raw"])))
         .withColumn("_p", F.lower(strip(F.col("provider"))))
         .join(ranks, "_p", "left")
         .select(
             F.lower(strip(basename(strip(F.col("source_file"))))).alias("file_key"),
             F.array_sort(F.array_distinct("pages")).alias("page_set"),
             F.coalesce("_rank", F.lit(2147483647)).alias("_rank"),
-            "route_id", "_p", "provider", F.col("extracted_at").cast("timestamp").alias("_at"), mask.alias("_mask"), "invoice",
+            "route_id", "_p", "provider", F.col("extracted_at").cast("timestamp").alias("_at"), "_stated", items.alias("_items"),
+            F.aggregate("_stated", F.lit(0), lambda acc, e: acc.bitwiseOR(e["bit"])).alias("_mask"),
             F.pow(F.lit(2.0), F.greatest(F.lit(-500.0), F.least(F.lit(500.0), F.coalesce(days / half_life_days, F.lit(-500.0))))
                   - F.coalesce(F.col("_rank") - 1.0, F.lit(60.0))).alias("_w"),
         )
     )
-    text = [
-        F.when(is_stated(F.col("invoice")[f]), F.struct(F.lit(f).alias("field"), collapse_key(F.col("invoice")[f]).alias("norm"), F.col("invoice")[f].alias("raw")))
-        for f in HEADER
-    ]
-    others = [
-        F.when(F.size(items) > 0, F.struct(F.lit("line_items").alias("field"), F.to_json(items).alias("norm"), F.to_json(items).alias("raw"))),
-        F.when(F.col("_p").isNotNull(), F.struct(F.lit("provider").alias("field"), F.col("_p").alias("norm"), F.col("_p").alias("raw"))),
-        F.struct(F.lit("").alias("field"), F.col("route_id").cast("string").alias("norm"), F.lit("").alias("raw")),
-    ]
+    entry = lambda field, norm, value: F.struct(field.alias("field"), norm.alias("norm"), value.alias("raw"))
+    fields = F.transform("_stated", lambda e: entry(e["field"], collapse_key(e["raw"]), e["raw"]))
+    lines = F.to_json("_items")
+    others = F.filter(F.array(
+        F.when(F.size("_items") > 0, entry(F.lit("line_items"), lines, lines)),
+        F.when(F.col("_p").isNotNull(), entry(F.lit("provider"), F.col("_p"), F.col("_p"))),
+        entry(F.lit(""), F.col("route_id").cast("string"), F.lit("")),
+    ), lambda x: x.isNotNull())
     group = ["file_key", "page_set"]
     long = rows.select(
         *group, "_w", "_at", "_rank", "_mask", "route_id",
-        F.inline(F.filter(F.array(*text, *others), lambda x: x.isNotNull())),
+        F.inline(F.concat(fields, others)),
     )
     # The row itself is one more long row (field ''), so that groups are judged in the same pass.
     row = F.when(F.col("field") == "", F.struct("_at", (-F.col("_rank")).alias("nrank"), F.bit_count("_mask").alias("filled"), (-F.col("route_id")).alias("nid"), "_mask"))
