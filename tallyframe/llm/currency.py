@@ -72,6 +72,9 @@ NOISE = set(
     "zahlbar betrag betrage montants importes waehrung of de".split()
 )
 
+# Units and signs of several currencies, which add nothing beside a clear name.
+SHARED = "$ ¥ kr kroner krone krona kronor crown crowns dollar dollars peso pesos rupee rupees pound pounds franc francs".split()
+
 _SPLIT = re.compile(r"[/()\[\]{},;|+&=]|\s[-–—]\s|\b(?:and|und|et|y|or|oder|ou)\b")
 _SPELLED = re.compile(r"\b\w(?:[.\s]\w)+\b\.?")
 
@@ -205,7 +208,9 @@ def map_values(values: DataFrame, currencies: DataFrame, column: str, threshold:
         .select("value", F.inline_outer("_s"))
     )
     spellings = spelling_table(currencies)
-    areas = currencies.select(F.try_element_at(_segments("area"), F.lit(1))["text"].alias("text"), F.lit(True).alias("is_area")).where(F.col("text").isNotNull()).distinct()
+    areas = currencies.select(F.try_element_at(_segments("area"), F.lit(1))["text"].alias("text"), F.lit(True).alias("is_area")).where(F.col("text").isNotNull())
+    shared = currencies.sparkSession.createDataFrame([(w,) for w in SHARED], "text string").withColumn("is_area", F.lit(True))
+    areas = areas.unionByName(shared).distinct()
     near = similarity_join(parts.select("text").where(F.col("text").isNotNull()).distinct(), spellings.select("text").distinct(), threshold)
     agreed = near.where(_agree("text", "other")).join(spellings.withColumnRenamed("text", "other"), "other")
     best = agreed.groupBy("text", "code").agg(F.max("jaccard").alias("j"))
@@ -218,7 +223,7 @@ def map_values(values: DataFrame, currencies: DataFrame, column: str, threshold:
     one = F.col("n_codes") == 1
 
     def by(kind: str) -> Column:
-        """The one code that all texts of a kind agree on; the names of areas say nothing."""
+        """The one code that all texts of a kind agree on; the names of areas and shared units say nothing."""
         mine = (F.col("kind") == kind) & F.col("is_area").isNull()
         lo, hi = F.min(F.when(mine, F.col("code"))), F.max(F.when(mine, F.col("code")))
         return F.when(F.bool_and(F.when(mine, F.coalesce(one, F.lit(False)))) & (lo == hi), lo)

@@ -84,5 +84,28 @@ def queries():
     }
 
 
+def _undisputed_sql() -> str:
+    """Rows of each group that equal the group's best time, best trust and union of filled fields."""
+    listed = ", ".join("'" + x.replace("'", "''") + "'" for x in survivor.PLACEHOLDERS)
+
+    def stated(f: str) -> str:
+        v = f"lower(regexp_replace(invoice.{f}, '^\\s+|\\s+$', '', 'g'))"
+        near = " OR ".join(f"(abs(length({v}) - {len(w)}) <= 2 AND levenshtein({v}, '{w}') <= 2)" for w in ("unknown", "not stated"))
+        return f"coalesce(NOT ({v} IN ({listed}) OR {near}), false) AS s_{f}"
+
+    strip = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+    key = strip(f"lower(regexp_extract(replace({strip('source_file')}, '\\', '/'), '([^/]*)$', 1))")
+    best = ", ".join(f"bool_or(s_{f}) OVER g AS b_{f}" for f in survivor.HEADER)
+    same = " AND ".join(f"s_{f} = b_{f}" for f in survivor.HEADER)
+    rows = (
+        f"SELECT route_id, extracted_at AS seen, coalesce(t.r, 2147483647) AS r, {key} AS k, list_sort(list_distinct(pages)) AS p, {', '.join(map(stated, survivor.HEADER))} FROM route_results "
+        f"LEFT JOIN (SELECT lower({strip('provider')}) AS pr, min(trust_rank) AS r FROM provider_trust GROUP BY 1) t ON t.pr = lower({strip('route_results.provider')}) WHERE source_file IS NOT NULL AND pages IS NOT NULL"
+    )
+    return (
+        f"SELECT min(route_id) AS route_id FROM (SELECT *, count(*) OVER g AS n, max(seen) OVER g AS mseen, min(r) OVER g AS mr, {best} FROM ({rows}) WINDOW g AS (PARTITION BY k, p)) "
+        f"WHERE n >= 2 AND seen IS NOT DISTINCT FROM mseen AND r = mr AND {same} GROUP BY k, p"
+    )
+
+
 def oracle_sql():
-    return {"p3_found": "SELECT page_id FROM page_infos WHERE length(text) > 2000"}
+    return {"p3_found": "SELECT page_id FROM page_infos WHERE length(text) > 2000", "p6_found": _undisputed_sql()}

@@ -152,6 +152,6 @@ def split_pages(pages: DataFrame, limit: int = 2000, overlap: int = 200) -> Data
 
 
 def oversized_pages(pages: DataFrame, limit: int = 2000, overlap: int = 200) -> DataFrame:
-    """Ids of the pages that came out in more than one piece."""
+    """Ids of the pages that came out in more than one piece, each once."""
     pieces = split_pages(pages, limit, overlap)
-    return pieces.where((F.col("piece_no") == 1) & (F.col("n_pieces") > 1)).select("page_id")
+    return pieces.where((F.col("piece_no") == 1) & (F.col("n_pieces") > 1)).select("page_id").distinct()
