@@ -10,4 +10,4 @@ def queries():
 
 
 def oracle_sql():
-    return dict(reference.SQL)
+    return {**reference.SQL, **problems.oracle_sql()}

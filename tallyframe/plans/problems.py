@@ -30,3 +30,27 @@ def p7_normal_forms(spark, d):
 
 
 QUERIES = {"p5_found": p5_found, "p5_all_copies": p5_all_copies, "p7_found": p7_found, "p7_normal_forms": p7_normal_forms}
+
+
+def _side(table: str) -> str:
+    from tallyframe.plans.reference import _dec
+
+    t = "nullif(regexp_replace(invoice['total_amount'], '^\\s+|\\s+$', '', 'g'), '')"
+    number = _dec("invoice['total_amount']").replace("DECIMAL(28,10)", "DECIMAL(38,10)")
+    rows = (
+        f"SELECT case_id, annotated_at, nullif(lower(regexp_replace(invoice['invoice_number'], '\\s+', '', 'g')), '') AS n, coalesce(CAST({number} AS VARCHAR), lower({t})) AS t, "
+        f"CAST(expected_needs_review AS VARCHAR) AS e FROM {table} WHERE case_id IS NOT NULL"
+    )
+    order = "annotated_at DESC NULLS LAST, n DESC NULLS LAST, t DESC NULLS LAST, e DESC NULLS LAST"
+    return f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY {order}) AS rn FROM ({rows})) WHERE rn = 1)"
+
+
+def oracle_sql() -> dict[str, str]:
+    both = "a JOIN c USING (case_id)"
+    differs = " UNION ALL ".join(
+        f"SELECT case_id, 'differs' AS difference, '{f}' AS field FROM {both} WHERE a.{k} IS DISTINCT FROM c.{k}" for f, k in zip(ANNOTATION_FIELDS, "nte")
+    )
+    return {
+        "p5_found": f"WITH a AS {_side('annotations')}, c AS {_side('annotations_copy')} {differs} "
+        "UNION ALL SELECT case_id, 'only_in_annotations', '' FROM a WHERE case_id NOT IN (SELECT case_id FROM c) UNION ALL SELECT case_id, 'only_in_copy', '' FROM c WHERE case_id NOT IN (SELECT case_id FROM a)"
+    }
