@@ -15,6 +15,8 @@ from tallyframe.functions.numbers import coerce_decimal
 from tallyframe.functions.text import basename, blank_to_null, collapse_key, page_ranges, strip
 from tallyframe.schemas import HEADER_FIELDS, MONEY_FIELDS
 
+GATEWAY = "openrouter"  # fixed value: the provider name of the gateway in the tables
+
 
 def ordered_routes(routes: DataFrame) -> DataFrame:
     """Routes with a file key and ``_first`` / ``_last`` order structs; rows without file or pages are left out."""
@@ -98,7 +100,7 @@ def provider_labels(routes: DataFrame) -> DataFrame:
     )
     models = F.filter("_ms", lambda m: m.isNotNull())
     providers = F.filter("_ps", lambda p: p.isNotNull())
-    gateway = F.size(F.array_except(providers, F.array(F.lit("openrouter")))) == 0
+    gateway = F.size(F.array_except(providers, F.array(F.lit(GATEWAY)))) == 0
     return g.select(
         "file_key", "n_routes", F.array_join(providers, "+").alias("provider"),
         F.when(gateway & (F.size(models) > 1), "multiple").otherwise(F.array_join(models, "+")).alias("model"), "pages",

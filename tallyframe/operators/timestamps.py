@@ -21,7 +21,7 @@ from functools import cache
 from zoneinfo import available_timezones
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -207,6 +207,17 @@ def estimate_offsets(parts: DataFrame, source: str, arrival: str, step_minutes:
     return best.select(source, "_month", F.col("_best")["_cand"].alias("_estimated"))
 
 
+def _utc_text(instant: Column) -> Column:
+    """``YYYY-MM-DDTHH:MM:SS.ffffffZ`` whatever the session's time zone."""
+    micros = F.unix_micros(instant)
+    whole = lambda n, d: ((n - F.pmod(n, F.lit(d))) / d).cast("long")
+    total = whole(micros, 1_000_000)
+    seconds = F.pmod(total, F.lit(86400))
+    day = F.date_add(F.lit("1970-01-01").cast("date"), whole(total, 86400).cast("int"))
+    clock = F.format_string("%02d:%02d:%02d.%06d", whole(seconds, 3600), whole(seconds, 60) % 60, seconds % 60, F.pmod(micros, F.lit(1_000_000)))
+    return F.when(instant.isNotNull(), F.concat(day.cast("string"), F.lit("T"), clock, F.lit("Z")))
+
+
 def normalize_timestamps(df: DataFrame, text: str, zone: str, arrival: str | None = None, source: str | None = None) -> DataFrame:
     """``df`` with ``normal_form``: a day as ``YYYY-MM-DD``, a moment in UTC as ``YYYY-MM-DDTHH:MM:SS.ffffffZ``.
 
@@ -233,7 +244,7 @@ def normalize_timestamps(df: DataFrame, text: str, zone: str, arrival: str | Non
         .otherwise(estimated)
     )
     instant = F.coalesce(F.col("_instant"), moment)
-    form = F.coalesce(F.date_format("_day", "yyyy-MM-dd"), F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    form = F.coalesce(F.col("_day").cast("string"), _utc_text(instant))
     keep = [F.col(c) for c in df.columns if c != "normal_form"]
     return parts.select(*keep, form.alias("normal_form"))
 

@@ -335,7 +335,7 @@ def q_export_needs_review(spark, d):
     ).agg(F.count("*").alias("copies"))
 
 
-@query("SELECT coalesce(extraction_method, 'failed') AS method, document_classification, count(*) AS n, count(*) FILTER (WHERE needs_review) AS n_review, sum(page_count) AS pages, count(*) FILTER (WHERE extraction_method IS NULL) AS n_failed FROM invoices GROUP BY ALL")
+@query("SELECT coalesce(extraction_method, 'failed') AS method, document_classification, count(*) AS n, count(*) FILTER (WHERE needs_review) AS n_review, CAST(sum(page_count) AS BIGINT) AS pages, count(*) FILTER (WHERE extraction_method IS NULL) AS n_failed FROM invoices GROUP BY ALL")
 def q_batch_counters(spark, d):
     g = read_table(spark, d, "invoices").groupBy(F.coalesce("extraction_method", F.lit("failed")).alias("method"), "document_classification")
     return g.agg(F.count("*").alias("n"), F.count_if("needs_review").alias("n_review"), F.sum("page_count").alias("pages"), F.count_if(F.col("extraction_method").isNull()).alias("n_failed"))
