@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.functions.numbers import let
 from tallyframe.functions.text import basename, collapse_key, strip
 
 HEADER = [
@@ -37,12 +38,15 @@ PLACEHOLDERS = [
 
 def is_stated(col: Column) -> Column:
     """True where the text states something; false for null, blanks and placeholders, also slightly mistyped long ones."""
-    text = F.lower(strip(col))
-    mistyped = F.lit(False)
-    for word in ("unknown", "not stated"):
-        close = (F.char_length(text) >= len(word) - 2) & (F.char_length(text) <= len(word) + 2)
-        mistyped |= F.when(close, F.levenshtein(text, F.lit(word)) <= 2).otherwise(False)
-    return F.coalesce(~(text.isin(PLACEHOLDERS) | mistyped), F.lit(False))
+
+    def states(text: Column) -> Column:
+        mistyped = F.lit(False)
+        for word in ("unknown", "not stated"):
+            close = (F.char_length(text) >= len(word) - 2) & (F.char_length(text) <= len(word) + 2)
+            mistyped |= F.when(close, F.levenshtein(text, F.lit(word)) <= 2).otherwise(False)
+        return F.coalesce(~(text.isin(PLACEHOLDERS) | mistyped), F.lit(False))
+
+    return let(F.lower(strip(col)), states)
 
 
 def best_representatives(routes: DataFrame, trust: DataFrame, half_life_days: float = 90.0) -> DataFrame:
