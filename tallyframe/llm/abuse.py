@@ -8,8 +8,9 @@ speech and trade terms rewrite or discount what they match before the clauses ar
 that a word alone decides nothing where its neighbours make it harmless.
 
 A document's score is the weight of its clauses, best pattern a clause and kind; from
-``THRESHOLD`` on it is a case. Clauses without any word of the grammar are passed over by a set
-lookup, so clean text costs little more than its tokenisation. Each row is scored by itself:
+``THRESHOLD`` on it is a case. A pattern runs only on clauses that hold a word of every part it
+cannot match without; these parts are read off the compiled patterns, so nothing is lost, and clean
+text costs little more than its tokenisation. Each row is scored by itself:
 no shuffle but the few partial sums of the rates per source.
 
 Defined results: null and empty texts score 0. Whole texts are read, whatever their length.
@@ -23,6 +24,8 @@ import unicodedata
 from collections.abc import Iterator
 from functools import cache, lru_cache
 from itertools import islice, product
+from re import _constants as sre
+from re import _parser as sre_parser
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -180,6 +183,110 @@ def grammar() -> tuple:
     return rules, harmless, triggers, by_length
 
 
+def _texts(item) -> set[str] | None:
+    """All texts a part of a parsed pattern matches, None if they are not a short list."""
+    op, arg = item
+    if op is sre.LITERAL:
+        return {chr(arg)}
+    if op in (sre.AT, sre.ASSERT, sre.ASSERT_NOT):
+        return {""}
+    if op is sre.IN and all(o is sre.LITERAL for o, _ in arg):
+        return {chr(c) for _, c in arg}
+    if op is sre.SUBPATTERN:
+        return _sequence_texts(arg[3])
+    if op is sre.BRANCH:
+        each = [_sequence_texts(a) for a in arg[1]]
+        return None if None in each else set().union(*each)
+    if op is sre.MAX_REPEAT and arg[:2] == (0, 1):
+        inner = _sequence_texts(arg[2])
+        return None if inner is None else inner | {""}
+    return None
+
+
+def _sequence_texts(items) -> set[str] | None:
+    texts = {""}
+    for item in items:
+        more = _texts(item)
+        if more is None or len(texts) * len(more) > 5000:
+            return None
+        texts = {a + b for a in texts for b in more}
+    return texts
+
+
+def _parts(items) -> list[frozenset[str]]:
+    """Sets of letter runs of which every match of a parsed sequence holds at least one each."""
+    parts, texts = [], {""}
+
+    def close() -> None:
+        runs = [re.findall("[a-z]+", t) for t in texts]
+        if all(runs):
+            parts.append(frozenset(max(r, key=len) for r in runs))
+        texts.clear()
+        texts.add("")
+
+    for item in items:
+        op, arg = item
+        more = _texts(item)
+        if more is not None and len(texts) * len(more) <= 5000:
+            texts = {a + b for a in texts for b in more}
+            if more == {" "}:
+                close()
+            continue
+        close()
+        if op is sre.SUBPATTERN:
+            parts += _parts(arg[3])
+        elif op is sre.BRANCH:
+            each = [_parts(a) for a in arg[1]]
+            if all(each):  # of each way the part of fewest words
+                parts.append(frozenset().union(*(min(p, key=len) for p in each)))
+        elif op is sre.MAX_REPEAT and arg[0] > 0:
+            parts += _parts(arg[2])
+    close()
+    return parts
+
+
+def _ways(items) -> list[list[frozenset[str]]]:
+    """The parts of each alternative of a parsed pattern."""
+    wide = [i for i in items if i[0] is not sre.AT]
+    if len(wide) == 1 and wide[0][0] is sre.BRANCH:
+        return [w for a in wide[0][1][1] for w in _ways(a)]
+    if len(wide) == 1 and wide[0][0] is sre.SUBPATTERN:
+        return _ways(wide[0][1][3])
+    return [_parts(items)]
+
+
+@cache
+def _required() -> tuple[dict[str, int], list[list[int]]]:
+    """Letter runs with the bits of the parts they belong to; for each rule the bits of its alternatives."""
+    bits: dict[frozenset[str], int] = {}
+    needs = [
+        [sum(1 << bits.setdefault(p, len(bits)) for p in set(parts)) for parts in _ways(sre_parser.parse(pattern.pattern))]
+        for _, _, pattern in grammar()[0]
+    ]
+    runs: dict[str, int] = {}
+    for part, bit in bits.items():
+        for run in part:
+            runs[run] = runs.get(run, 0) | 1 << bit
+    return runs, needs
+
+
+@lru_cache(maxsize=1 << 16)
+def _word_bits(word: str) -> int:
+    """The parts a word may belong to: those with a run found anywhere in it."""
+    runs = _required()[0]
+    longest, found = max(map(len, runs)), 0
+    for i in range(len(word)):
+        for j in range(i + 1, min(len(word), i + longest) + 1):
+            found |= runs.get(word[i:j], 0)
+    return found
+
+
+@lru_cache(maxsize=1 << 16)
+def _possible(found: int) -> tuple[int, ...]:
+    """The rules that can match a clause whose words belong to these parts."""
+    return tuple(k for k, ways in enumerate(_required()[1]) if any(need & ~found == 0 for need in ways))
+
+
 @cache
 def _conduct() -> re.Pattern:
     return re.compile(_squeeze_regex(CONDUCT.pattern))
@@ -233,9 +340,14 @@ def plain_clauses(text: str) -> list[list[str]]:
     return out
 
 
-def score_clause(clause: str) -> dict[str, float]:
-    """Best weight of each kind in a clause of plain words, after the discounting transducers."""
+def score_clause(clause: str, possible: tuple[int, ...] | None = None) -> dict[str, float]:
+    """Best weight of each kind in a clause of plain words, after the discounting transducers.
+
+    ``possible`` are the rules to run, all without it.
+    """
     rules, harmless, _, _ = grammar()
+    if possible is not None:
+        rules = [rules[k] for k in possible]
     for pattern, replacement in harmless:
         clause = pattern.sub(replacement, clause)
     if _conduct().search(clause):
@@ -255,14 +367,18 @@ def score_text(text: str | None) -> tuple[float, float, float]:
     totals = {"abusive": 0.0, "hateful": 0.0, "sexual": 0.0}
     if not text:
         return 0.0, 0.0, 0.0
-    triggers = grammar()[2]
     for words in plain_clauses(text):
         readings = [_readings(w) for w in words]
-        if all(" " not in r[-1] and triggers.isdisjoint(r) for r in readings):
+        found = 0
+        for ways in readings:
+            for w in ways:
+                found |= _word_bits(w)
+        possible = _possible(found)
+        if not possible:
             continue
         best: dict[str, float] = {}
         for clause in islice(map(" ".join, product(*readings)), 64):
-            for kind, weight in score_clause(clause).items():
+            for kind, weight in score_clause(clause, possible).items():
                 best[kind] = max(best.get(kind, 0.0), weight)
         for kind, weight in best.items():
             totals[kind] += weight

@@ -1,9 +1,11 @@
 import os
+import random
+import re
 
 import pytest
 from conftest import DATA
 
-from tallyframe.llm.abuse import THRESHOLD, score_documents, score_text, source_rates
+from tallyframe.llm.abuse import PATTERNS, THRESHOLD, _build, _possible, _word_bits, score_clause, score_documents, score_text, source_rates
 
 BAD = [
     ("abusive", "What a crooked little rat you are."), ("abusive", "Fuuuuck off, bl00d$uck1ng leech"), ("abusive", "I will find out where you live and break your legs"), ("abusive", "Du mieses Arschl*ch"),
@@ -46,3 +48,21 @@ def test_tables(spark):
     rates = {r.source: (r.n_documents, r.n_flagged, r.rate) for r in source_rates(df).collect()}
     assert rates == {"chat": (3, 2, 0.666667), None: (2, 0, 0.0)}
     assert source_rates(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", ["You will die", "You need to die", "Send those people back", "Keep those people out", "Those people have no place in this country"])
+def test_common_words_alone(text):
+    assert sum(score_text(text)) >= THRESHOLD
+
+
+def test_prefilter_loses_nothing():
+    rng, words = random.Random(7), sorted(set(re.findall("[a-z]+", " ".join(_build(p) for _, _, p in PATTERNS))))
+    hits = 0
+    for _ in range(6000):
+        clause = " ".join(rng.choice(words) for _ in range(rng.randint(2, 9)))
+        found = 0
+        for w in clause.split():
+            found |= _word_bits(w)
+        assert score_clause(clause, _possible(found)) == score_clause(clause)
+        hits += bool(score_clause(clause))
+    assert hits > 100
