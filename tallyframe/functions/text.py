@@ -74,7 +74,8 @@ def page_ranges(pages: Column) -> Column:
 
 
 def flatten_truncate(col: Column, limit: int) -> Column:
-    flat = strip(F.regexp_replace(col, r"(?U)\s+", " "))
+    # The separators U+001C to U+001F are blanks to str.split, not to (?U)\s.
+    flat = strip(F.regexp_replace(col, r"(?U)[\s\x1c-\x1f]+", " "))
     return F.when(F.length(flat) > limit, F.concat(F.left(flat, F.lit(limit)), F.lit("...[truncated]"))).otherwise(flat)
 
 

@@ -42,3 +42,17 @@ def test_outer_braces_and_fences(spark):
 def test_file_names(spark):
     for raw, want in (("a\\b/Scan 1.PDF", "Scan_1.pdf"), ("..", "file.pdf"), ("x" * 100, "x" * 76 + ".pdf")):
         assert one(spark, text.sanitize_filename(F.col("x")), raw) == want
+
+
+def test_flatten_truncate_every_document(spark, tmp_path):
+    from tallyframe.plans import catalogue
+
+    texts = [None, "", " a\tb\n c ", "Grüße  aus　Köln ", "price\x85€ 4", "a\x1c\x1fb\x0bc", "é漢 " * 60, "😀" * 81, "x" * 80, "​kept", "  "]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.flat for r in catalogue.queries()["q_flatten_truncate_all"](spark, str(tmp_path)).collect()}
+
+    def flat(text):
+        text = " ".join(text.split())
+        return text[:80] + "...[truncated]" if len(text) > 80 else text
+
+    assert got == {i: None if t is None else flat(t) for i, t in enumerate(texts)}
