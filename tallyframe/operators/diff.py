@@ -8,9 +8,8 @@ fields is least in total; rows without a partner are missing on the other side.
   third of all rows costs one row a distinct value combination after the shuffle.
 * A key with one combination left a side needs no search. Keys with up to ``exact_limit``
   rows left a side go through the Hungarian method in ``applyInPandas``; a group is bounded by
-  that parameter. Larger keys are paired level by level (most equal fields first) with
-  salted numbering: every row is paired that can be, no group meets in one task, but among
-  those pairings the total of differing fields may exceed the least one.
+  that parameter. Larger keys are solved as a transport problem between their distinct value
+  combinations, to the same least total; a task holds the distinct combinations of a key.
 
 Nulls: a null key is no case and is left out; null field values equal one another. Empty
 inputs give no rows. Extra columns are ignored, whatever their names.
@@ -18,11 +17,12 @@ inputs give no rows. Extra columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.numbers import coerce_decimal
@@ -30,30 +30,6 @@ from tallyframe.functions.text import strip
 from tallyframe.session import cut_lineage
 
 
-def number_rows(df: DataFrame, keys: list[str], tie: list[str], name: str, buckets: int = 64) -> DataFrame:
-    """1-based position of each row within ``keys`` without bringing a key into one task.
-
-    Rows are numbered inside salted buckets; the buckets' offsets come from their counts.
-    """
-    salted = df.withColumn("_b", F.pmod(F.xxhash64(*tie), F.lit(buckets)).cast("int"))
-    inside = Window.partitionBy(*keys, "_b").orderBy(*tie)
-    numbered = salted.withColumn("_in", F.row_number().over(inside))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        salted.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
-        .select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_kb"),
-                F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    )
-    same = F.col("_b") == F.col("_kb")
-    for k in keys:
-        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return (
-        numbered.join(offsets, same)
-        .withColumn(name, F.col("_in") + F.col("_off"))
-        .drop("_b", "_in", "_off", "_kb", *[f"_k_{k}" for k in keys])
-    )
-
-
 def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
     """Least-cost assignment of all rows of ``cost`` (rows <= columns) by shortest augmenting paths."""
     n, m = cost.shape
@@ -127,7 +103,7 @@ def diff_copies(left: DataFrame, right: DataFrame, keys: list[str], fields: list
     searched = _assign_exact(hard.where(small), keys, fields)
     matched = alone.unionByName(pairs).unionByName(searched)
     if not hard.where(~small).isEmpty():
-        matched = matched.unionByName(_assign_by_level(hard.where(~small), keys, fields))
+        matched = matched.unionByName(_assign_transport(hard.where(~small), keys, fields))
     kind = F.when(F.col("_rv").isNull(), "only_left").when(F.col("_lv").isNull(), "only_right").otherwise("differs")
     spots = F.array(*[
         F.struct(F.lit(f).alias("field"), F.col("_lv")[f].alias("left_value"), F.col("_rv")[f].alias("right_value")) for f in fields
@@ -166,36 +142,140 @@ def _assign_exact(hard: DataFrame, keys: list[str], fields: list[str]) -> DataFr
     return text.groupBy(*keys).applyInPandas(assign, schema)
 
 
-def _assign_by_level(hard: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """Pair rows of large keys level by level: rows that share more fields first."""
-    text = [F.col(f).cast("string").alias(f) for f in fields]
-    left = hard.where("_l > 0").select(*keys, *text, F.explode(F.sequence(F.lit(1), F.col("_l").cast("int"))).alias("_u"))
-    right = hard.where("_r > 0").select(*keys, *text, F.explode(F.sequence(F.lit(1), F.col("_r").cast("int"))).alias("_u"))
-    value = F.struct(*[F.col(f) for f in fields])
-    out = None
-    for size in range(len(fields) - 1, -1, -1):
-        for shared in combinations(fields, size):
-            on = [*keys, *shared]
-            ln = number_rows(left, on, [*keys, *fields, "_u"], "_i").select(*on, "_i", value.alias("_lv"), F.col("_u").alias("_lu"))
-            rn = number_rows(right, on, [*keys, *fields, "_u"], "_i").select(
-                *[F.col(c).alias(f"_r_{c}") for c in on], F.col("_i").alias("_j"), value.alias("_rv"), F.col("_u").alias("_ru"))
-            same = F.col("_i") == F.col("_j")
-            for c in on:
-                same &= F.col(c).eqNullSafe(F.col(f"_r_{c}"))
-            both = cut_lineage(ln.join(rn, same, "full"))
-            got = both.where(F.col("_i").isNotNull() & F.col("_j").isNotNull()).select(*keys, "_lv", "_rv", F.lit(1).cast("long").alias("n"))
-            left = both.where(F.col("_j").isNull()).select(*keys, *[F.col("_lv")[f].alias(f) for f in fields], F.col("_lu").alias("_u"))
-            right = both.where(F.col("_i").isNull()).select(
-                *[F.col(f"_r_{k}").alias(k) for k in keys], *[F.col("_rv")[f].alias(f) for f in fields], F.col("_ru").alias("_u"))
-            # Each level reads what the one before left over; cut, or the plan doubles with every level.
-            got, left, right = cut_lineage(got), cut_lineage(left), cut_lineage(right)
-            out = got if out is None else out.unionByName(got)
-    null = F.lit(None).cast(out.schema["_lv"].dataType)
-    one = F.lit(1).cast("long").alias("n")
-    return (
-        out.unionByName(left.select(*keys, value.alias("_lv"), null.alias("_rv"), one))
-        .unionByName(right.select(*keys, null.alias("_lv"), value.alias("_rv"), one))
-    )
+def transport(lefts: list[tuple], n_left: list[int], rights: list[tuple], n_right: list[int]) -> list[tuple[int, int, int]]:
+    """(left, right, amount) of a pairing of as many rows as can be with least differing fields in total.
+
+    Combinations meet in nodes for the fields they share: from a left combination to the node of
+    a set of shared fields costs the other fields, from there to the right ones is free. So the
+    network grows with the combinations, not with their pairs. Flow is sent along shortest paths
+    by potentials, all paths of one length at a time.
+    """
+    width, sets = len(lefts[0]), []
+    for size in range(width, -1, -1):
+        sets += combinations(range(width), size)
+    meet = [{tuple(x[f] for f in s) for x in lefts} & {tuple(x[f] for f in s) for x in rights} for s in sets]
+    source, sink, first_right = 0, 1, 2 + len(lefts)
+    names: dict[tuple, int] = {}
+    head: list[int] = []
+    cap: list[int] = []
+    cost: list[int] = []
+    out: list[list[int]] = [[] for _ in range(first_right + len(rights))]
+    unbounded = min(sum(n_left), sum(n_right))
+
+    def edge(a: int, b: int, c: int, w: int) -> None:
+        out[a].append(len(head))
+        out[b].append(len(head) + 1)
+        head.extend((b, a))
+        cap.extend((c, 0))
+        cost.extend((w, -w))
+
+    def node(name: tuple) -> int:
+        if name not in names:
+            names[name] = len(out)
+            out.append([])
+        return names[name]
+
+    for i, x in enumerate(lefts):
+        edge(source, 2 + i, n_left[i], 0)
+        for s, known in zip(sets, meet):
+            if (value := tuple(x[f] for f in s)) in known:
+                edge(2 + i, node((s, value)), unbounded, width - len(s))
+    for j, y in enumerate(rights):
+        edge(first_right + j, sink, n_right[j], 0)
+        for s, known in zip(sets, meet):
+            if (value := tuple(y[f] for f in s)) in known:
+                edge(node((s, value)), first_right + j, unbounded, 0)
+
+    price, left_over = [0] * len(out), unbounded
+    while left_over:
+        far = [-1] * len(out)
+        heap, best = [(0, source)], {source: 0}
+        while heap:
+            d, a = heappop(heap)
+            if far[a] >= 0:
+                continue
+            far[a] = d
+            for e in out[a]:
+                b = head[e]
+                if cap[e] and far[b] < 0 and (w := d + cost[e] + price[a] - price[b]) < best.get(b, w + 1):
+                    best[b] = w
+                    heappush(heap, (w, b))
+        most = far[sink]
+        for a, d in enumerate(far):
+            price[a] += most if d < 0 else min(d, most)
+        while True:  # all shortest paths, those of fewest edges first
+            level, queue = [-1] * len(out), [source]
+            level[source] = 0
+            for a in queue:
+                for e in out[a]:
+                    b = head[e]
+                    if cap[e] and level[b] < 0 and cost[e] + price[a] == price[b]:
+                        level[b] = level[a] + 1
+                        queue.append(b)
+            if level[sink] < 0:
+                break
+            at, path = [0] * len(out), []
+            while True:
+                a = head[path[-1]] if path else source
+                if a == sink:
+                    sent = min(cap[e] for e in path)
+                    for e in path:
+                        cap[e] -= sent
+                        cap[e ^ 1] += sent
+                    left_over -= sent
+                    path = path[: next(k for k, e in enumerate(path) if not cap[e])]
+                    continue
+                while at[a] < len(out[a]):
+                    e = out[a][at[a]]
+                    if cap[e] and level[head[e]] == level[a] + 1 and cost[e] + price[a] == price[head[e]]:
+                        path.append(e)
+                        break
+                    at[a] += 1
+                else:
+                    if not path:
+                        break
+                    at[head[path.pop() ^ 1]] += 1
+
+    found = []
+    for n in names.values():
+        into = [[head[e] - 2, cap[e]] for e in out[n] if e & 1 and cap[e]]
+        for e in out[n]:
+            if not e & 1:
+                rest = cap[e ^ 1]
+                while rest:
+                    n_pairs = min(rest, into[-1][1])
+                    found.append((into[-1][0], head[e] - first_right, n_pairs))
+                    rest -= n_pairs
+                    into[-1][1] -= n_pairs
+                    if not into[-1][1]:
+                        into.pop()
+    return found
+
+
+def _assign_transport(hard: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """Least-cost transport between the distinct combinations of each key."""
+    shape = ", ".join(f"`{f}`: string" for f in fields)
+    types = dict(hard.dtypes)
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), f"_lv struct<{shape}>", f"_rv struct<{shape}>", "n bigint"])
+
+    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
+        values = [tuple(None if pd.isna(x) else x for x in row) for row in pdf[fields].itertuples(index=False)]
+        order = sorted(range(len(values)), key=lambda i: tuple((x is not None, x or "") for x in values[i]))
+        lefts, rights = [i for i in order if pdf["_l"].iloc[i] > 0], [i for i in order if pdf["_r"].iloc[i] > 0]
+        n_left, n_right = [int(pdf["_l"].iloc[i]) for i in lefts], [int(pdf["_r"].iloc[i]) for i in rights]
+        found = transport([values[i] for i in lefts], n_left, [values[i] for i in rights], n_right)
+        key = [pdf[k].iloc[0] for k in keys]
+        named = [dict(zip(fields, v)) for v in values]
+        out = [(*key, named[lefts[a]], named[rights[b]], n) for a, b, n in found]
+        for a, b, n in found:
+            n_left[a] -= n
+            n_right[b] -= n
+        out += [(*key, named[i], None, n) for i, n in zip(lefts, n_left) if n]
+        out += [(*key, None, named[i], n) for i, n in zip(rights, n_right) if n]
+        return pd.DataFrame(out, columns=[*keys, "_lv", "_rv", "n"])
+
+    text = hard.select(*keys, *[F.col(f).cast("string").alias(f) for f in fields], "_l", "_r")
+    return text.groupBy(*keys).applyInPandas(assign, schema)
 
 
 def annotation_fields(df: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from tallyframe.operators.diff import annotation_differences, diff_copies, hungarian
+from tallyframe.operators.diff import annotation_differences, diff_copies, hungarian, transport
 
 
 def brute(left, right):
@@ -59,3 +59,26 @@ def test_annotations(spark):
     got = sorted(tuple(r) for r in annotation_differences(left, right).collect())
     assert got == [("a", "differs", "expected_needs_review"), ("b", "differs", "expected_needs_review"), ("new", "only_in_copy", ""), ("only", "only_in_annotations", "")]
     assert annotation_differences(left.limit(0), right.limit(0)).count() == 0
+
+
+def test_large_keys_have_least_total(spark):
+    # L1 shares two fields with both right rows, L2 only with R1.
+    schema = "k string, f string, g string, h string"
+    left = [("a", "x", "y", "z")] * 300 + [("a", "x", "q", "w")] * 300
+    right = [("a", "x", "y", "w")] * 300 + [("a", "p", "y", "z")] * 300
+    got = diff_copies(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), ["k"], ["f", "g", "h"]).collect()
+    assert {x.difference for x in got} == {"differs"} and sum(x.n for x in got) == 600
+
+
+def test_transport_is_least():
+    rng = random.Random(5)
+    for _ in range(300):
+        width = rng.randint(1, 4)
+        sides = [[tuple(rng.choice("xyz") if rng.random() < 0.9 else None for _ in range(width)) for _ in range(rng.randint(1, 9))] for _ in range(2)]
+        l, r = [sorted(set(s), key=str) for s in sides]
+        n_l, n_r = [sides[0].count(x) for x in l], [sides[1].count(x) for x in r]
+        found = transport(l, n_l, r, n_r)
+        cost = np.array([[sum(a != b for a, b in zip(x, y)) for y in sides[1]] for x in sides[0]], dtype=float)
+        assert sum(n for _, _, n in found) == min(len(sides[0]), len(sides[1]))
+        assert sum(n * sum(a != b for a, b in zip(l[i], r[j])) for i, j, n in found) == sum(cost[a, b] for a, b in hungarian(cost))
+        assert all(sum(n for a, _, n in found if a == i) <= n_l[i] for i in range(len(l))) and all(sum(n for _, b, n in found if b == j) <= n_r[j] for j in range(len(r)))
