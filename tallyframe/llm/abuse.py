@@ -127,7 +127,13 @@ CONDUCT = re.compile(
     r"\bnot tolerated\b|\bleads? to a closed\b|\bverhaltensregeln\b|\brichtlinie\b|\breglement interieur\b|\bnormas de conducta\b"
 )
 # Reported speech about a third person discounts; direct speech to the reader does not.
-REPORTED = re.compile(r"\b(?:he|she|they|the (?:driver|clerk|customer|caller|guard|man|woman)) (?:said|wrote|shouted|claims|claimed|called (?:me|us|him|her|them))\b|\b(?:was|were|been|got|being) called an?\b|\baccording to (?:him|her|them)\b|\bthe word\b|\bquote\b")
+REPORTED = re.compile(r"\b(?:he|she|they|the (?:driver|clerk|customer|caller|guard|man|woman)) (?:said|wrote|shouted|claims|claimed|called (?:me|us|him|her|them))\b|\b(?:was|were|been|got|being) called an?\b|\baccording to (?:him|her|them)\b")
+# The addressee: such a word in the match, or one that opens an address up to three words before it or right behind it.
+_YOU_IN = re.compile(r"\b(?:you|your|yours|ur|yourself|du|ihr|dich|euch|dein|deine|tu|ta|te|tes|toi|vous|vos|vosotros|tus|eres|sois|contigo)\b")
+_YOU_BEFORE = re.compile(r"\b(?:you|du|ihr|tu|vous|eres|sois)(?: \S+){0,3} $")
+_YOU_BEHIND = re.compile(r" (?:you|du|ihr|tu|vous)\b")
+# A phrase governs a match that is at most so many words away.
+GOVERNS = 8
 NEGATED = re.compile(r"\b(?:is|are|was|were|am) (?:not|no|never) an? (?:\w+ )?(?:{INSULT}|{BEAST})\b".replace("{INSULT}", CLASSES["INSULT"]).replace("{BEAST}", CLASSES["BEAST"]))
 
 _HIDDEN = re.compile("[­͏​-‏‪-‮⁠-⁤﻿]")
@@ -350,16 +356,35 @@ def score_clause(clause: str, possible: tuple[int, ...] | None = None) -> dict[s
         rules = [rules[k] for k in possible]
     for pattern, replacement in harmless:
         clause = pattern.sub(replacement, clause)
-    if _conduct().search(clause):
-        return {}
-    factor = 0.3 if REPORTED.search(clause) else 1.0
+    conduct = [m.span() for m in _conduct().finditer(clause)]
+    reported = [m.span() for m in REPORTED.finditer(clause)]
+    negated = [m.span() for m in NEGATED.finditer(clause)]
     best: dict[str, float] = {}
     for kind, weight, pattern in rules:
-        if weight > best.get(kind, 0.0) and pattern.search(clause):
-            best[kind] = weight
-    if "abusive" in best and NEGATED.search(clause):
-        best["abusive"] *= 0.3
-    return {kind: weight * factor for kind, weight in best.items()}
+        found = pattern.search(clause)
+        while found and weight > best.get(kind, 0.0):
+            here = weight
+            if (conduct or reported) and not _to_you(clause, *found.span()):
+                if _governed(clause, found.span(), conduct, GOVERNS):
+                    here = 0.0
+                if _governed(clause, found.span(), reported, GOVERNS):
+                    here *= 0.3
+            if kind == "abusive" and any(a < found.end() and found.start() < b for a, b in negated):
+                here *= 0.3
+            if here > best.get(kind, 0.0):
+                best[kind] = here
+            found = pattern.search(clause, found.start() + 1)
+    return best
+
+
+def _to_you(clause: str, start: int, end: int) -> bool:
+    return bool(_YOU_IN.search(clause, start, end) or _YOU_BEFORE.search(clause, 0, start) or _YOU_BEHIND.match(clause, end))
+
+
+def _governed(clause: str, match: tuple[int, int], phrases: list[tuple[int, int]], reach: int) -> bool:
+    """Whether one of the phrases overlaps the match or lies at most ``reach`` words off."""
+    start, end = match
+    return any(len(clause[b:start].split()) <= reach if b <= start else len(clause[end:a].split()) <= reach for a, b in phrases)
 
 
 def score_text(text: str | None) -> tuple[float, float, float]:

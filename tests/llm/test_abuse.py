@@ -66,3 +66,17 @@ def test_prefilter_loses_nothing():
         assert score_clause(clause, _possible(found)) == score_clause(clause)
         hits += bool(score_clause(clause))
     assert hits > 100
+
+
+@pytest.mark.parametrize("text", [
+    "Your quote is a joke, you stupid idiots", "Stop your harassment you filthy bastard", "The word is out, you are a bastard",
+    "The driver said the parcels for hall 4 would be at the gate by nine this morning and I will break your legs",
+    "Our code of conduct was sent with the last delivery of paper and toner for the three offices in the north, go to hell",
+])
+def test_discounts_do_not_hide_what_they_do_not_govern(text):
+    assert sum(score_text(text)) >= THRESHOLD
+
+
+@pytest.mark.parametrize("text", ["Our code of conduct forbids calling a colleague an idiot", "The clerk is not an idiot", "I am not an idiot", "Calling people idiots is forbidden", "She wrote that the guard is a bastard"])
+def test_governed_words_stay_discounted(text):
+    assert sum(score_text(text)) < THRESHOLD
