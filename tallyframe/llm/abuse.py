@@ -23,7 +23,8 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache, lru_cache
-from itertools import islice, product
+from itertools import product
+from math import prod
 from re import _constants as sre
 from re import _parser as sre_parser
 
@@ -307,14 +308,26 @@ def _readings(token: str) -> tuple[str, ...]:
         found = tuple(w for w in by_length.get(len(token), ()) if pattern.fullmatch(w))
         return found or (re.sub(r"[*#]", "", token),)
     if len(token) >= 6 and token not in triggers:
-        known = _plain_words()
-        for i in range(1, len(token)):
-            a, b = token[:i], token[i:]
-            if a in known and b in known and len(token) - 2 >= 4 and (len(a) > 1 or a in "ai") and (len(b) > 1 or b in "ai") and (a in triggers or b in triggers) and max(len(a), len(b)) >= 4:
-                return (token, f"{a} {b}")
+        return (token, *(" ".join(ws) for ws in _segments(token) if len(ws) > 1 and max(map(len, ws)) >= 4 and not triggers.isdisjoint(ws)))
     return (token,)
 
 
+def _segments(token: str) -> list[tuple[str, ...]]:
+    """All ways to read a token as words of the grammar run together."""
+    known = _plain_words()
+    longest, n = max(map(len, known)), len(token)
+    ends = [False] * n + [True]
+    for i in range(n - 1, -1, -1):
+        ends[i] = any(ends[j] and token[i:j] in known for j in range(i + 1, min(n, i + longest) + 1))
+    found, open_ = [], [(0, ())] if ends[0] else []
+    while open_:
+        i, words = open_.pop()
+        if i == n:
+            found.append(words)
+        open_ += [(j, (*words, token[i:j])) for j in range(i + 1, min(n, i + longest) + 1) if ends[j] and token[i:j] in known]
+    return sorted(found)
+
+
 @cache
 def _plain_words() -> set[str]:
     _, _, triggers, by_length = grammar()
@@ -387,6 +400,118 @@ def _governed(clause: str, match: tuple[int, int], phrases: list[tuple[int, int]
     return any(len(clause[b:start].split()) <= reach if b <= start else len(clause[end:a].split()) <= reach for a, b in phrases)
 
 
+def _automaton(items, after: int, steps: list) -> int:
+    """Adds the states of a parsed sequence that goes on at ``after``; its first state. Lookaheads are left to the check of a found reading."""
+    for op, arg in reversed(list(items)):
+        if op in (sre.ASSERT, sre.ASSERT_NOT):
+            continue
+        if op is sre.SUBPATTERN:
+            after = _automaton(arg[3], after, steps)
+            continue
+        if op is sre.BRANCH:
+            step = ("any of", [_automaton(a, after, steps) for a in arg[1]])
+        elif op is sre.AT and arg is sre.AT_BOUNDARY:
+            step = ("boundary", [after])
+        elif op is sre.LITERAL:
+            step = (re.compile(re.escape(chr(arg))), [after])
+        elif op is sre.IN:
+            inside = "".join("\\w" if o is sre.CATEGORY and c is sre.CATEGORY_WORD else "\\S" if o is sre.CATEGORY and c is sre.CATEGORY_NOT_SPACE else re.escape(chr(c)) for o, c in arg)
+            step = (re.compile(f"[{inside}]"), [after])
+        elif op is sre.MAX_REPEAT:
+            low, high, inner = arg
+            if high is sre.MAXREPEAT:
+                steps.append(("any of", [after]))
+                loop = len(steps) - 1
+                steps[loop][1].append(_automaton(inner, loop, steps))
+                after = loop
+            else:
+                end = after
+                for _ in range(high - low):
+                    steps.append(("any of", [end, _automaton(inner, after, steps)]))
+                    after = len(steps) - 1
+            for _ in range(low):
+                after = _automaton(inner, after, steps)
+            continue
+        else:
+            raise ValueError(f"no step for {op}")
+        steps.append(step)
+        after = len(steps) - 1
+    return after
+
+
+@cache
+def _rule_automaton(k: int) -> tuple[list, int]:
+    steps: list = [("found", [])]
+    return steps, _automaton(sre_parser.parse(grammar()[0][k][2].pattern), 0, steps)
+
+
+@lru_cache(maxsize=1 << 16)
+def _walk(k: int, states: frozenset[int], word: str, first: bool, last: bool) -> tuple[frozenset[int], bool]:
+    """The states of rule ``k`` behind a word and its blank, and whether a match ended on the way."""
+    steps, start = _rule_automaton(k)
+    is_word = lambda c: c.isalnum() or c == "_"
+    text, found, before = word if last else word + " ", False, "" if first else " "
+    for c in [*text, ""] if last else text:
+        todo, seen = [*states, start], set()
+        while todo:
+            if (x := todo.pop()) in seen:
+                continue
+            seen.add(x)
+            what, to = steps[x]
+            if what == "any of" or what == "boundary" and is_word(before) != is_word(c):
+                todo += to
+        found |= 0 in seen
+        states = frozenset(to[0] for what, to in (steps[x] for x in seen) if isinstance(what, re.Pattern) and c and what.fullmatch(c))
+        before = c
+    return states, found
+
+
+@cache
+def _discounting() -> frozenset[str]:
+    """Words of the transducers that discount."""
+    sources = [*(p.pattern for p, _ in grammar()[1]), _conduct().pattern, REPORTED.pattern]
+    return frozenset(w for source in sources for w in re.findall("[a-z]+", re.sub(r"\\.", " ", source)))
+
+
+def score_lattice(readings: list[tuple[str, ...]], possible: tuple[int, ...]) -> dict[str, float]:
+    """Best weight of each kind over all readings of a clause, without listing them.
+
+    Each rule's automaton walks over the readings of one token after the other. Of readings that
+    lead to the same states one goes on, that with fewest discounting words; each reading that
+    ends a match is scored as a clause, the tokens behind it read as harmlessly as can be.
+    """
+    rules, discounting = grammar()[0], _discounting()
+    cost = [[sum(w in discounting for w in r.split()) for r in ways] for ways in readings]
+    plain = [ways[c.index(min(c))] for ways, c in zip(readings, cost)]
+    best: dict[str, float] = {}
+    for k in possible:
+        kind, weight, _ = rules[k]
+        front: dict[frozenset[int], tuple] = {frozenset(): (0, None)}
+        for i, ways in enumerate(readings):
+            ahead: dict[frozenset[int], tuple] = {}
+            for states, (so_far, path) in front.items():
+                ends = set()
+                for r, more in sorted(zip(ways, cost[i]), key=lambda x: x[1]):
+                    if best.get(kind, 0.0) >= weight:
+                        break
+                    to, found = _walk(k, states, r, i == 0, i == len(readings) - 1)
+                    way = (so_far + more, (path, r))
+                    if found and (to, more) not in ends:
+                        ends.add((to, more))
+                        words, at = [], way[1]
+                        while at:
+                            words.append(at[1])
+                            at = at[0]
+                        for name, w in score_clause(" ".join([*reversed(words), *plain[i + 1 :]]), (k,)).items():
+                            best[name] = max(best.get(name, 0.0), w)
+                    if to not in ahead or way[0] < ahead[to][0]:
+                        ahead[to] = way
+            front = ahead
+            if best.get(kind, 0.0) >= weight:
+                break
+    return best
+
+
 def score_text(text: str | None) -> tuple[float, float, float]:
     """(abusive, hateful, sexual) weight of a text: of each clause the best reading of its masked words counts."""
     totals = {"abusive": 0.0, "hateful": 0.0, "sexual": 0.0}
@@ -401,10 +526,13 @@ def score_text(text: str | None) -> tuple[float, float, float]:
         possible = _possible(found)
         if not possible:
             continue
-        best: dict[str, float] = {}
-        for clause in islice(map(" ".join, product(*readings)), 64):
-            for kind, weight in score_clause(clause, possible).items():
-                best[kind] = max(best.get(kind, 0.0), weight)
+        if prod(map(len, readings)) <= 64:
+            best: dict[str, float] = {}
+            for clause in map(" ".join, product(*readings)):
+                for kind, weight in score_clause(clause, possible).items():
+                    best[kind] = max(best.get(kind, 0.0), weight)
+        else:
+            best = score_lattice(readings, possible)
         for kind, weight in best.items():
             totals[kind] += weight
     return totals["abusive"], totals["hateful"], totals["sexual"]

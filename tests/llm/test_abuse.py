@@ -1,3 +1,4 @@
+import itertools
 import os
 import random
 import re
@@ -5,7 +6,7 @@ import re
 import pytest
 from conftest import DATA
 
-from tallyframe.llm.abuse import PATTERNS, THRESHOLD, _build, _possible, _word_bits, score_clause, score_documents, score_text, source_rates
+from tallyframe.llm.abuse import PATTERNS, THRESHOLD, _build, _possible, _word_bits, score_clause, score_documents, score_lattice, score_text, source_rates
 
 BAD = [
     ("abusive", "What a crooked little rat you are."), ("abusive", "Fuuuuck off, bl00d$uck1ng leech"), ("abusive", "I will find out where you live and break your legs"), ("abusive", "Du mieses Arschl*ch"),
@@ -80,3 +81,22 @@ def test_discounts_do_not_hide_what_they_do_not_govern(text):
 @pytest.mark.parametrize("text", ["Our code of conduct forbids calling a colleague an idiot", "The clerk is not an idiot", "I am not an idiot", "Calling people idiots is forbidden", "She wrote that the guard is a bastard"])
 def test_governed_words_stay_discounted(text):
     assert sum(score_text(text)) < THRESHOLD
+
+
+@pytest.mark.parametrize("text", ["the wh*re at your desk put ** urgent ** on it", "** ** ** ** ** ** ** you stupid wh*re", "showmeyourtits"])
+def test_masks_and_glued_words_without_cap(text):
+    assert sum(score_text(text)) >= THRESHOLD
+
+
+def test_lattice_equals_all_readings():
+    rng, words = random.Random(11), sorted(set(re.findall("[a-z]{2,}", " ".join(_build(p) for _, _, p in PATTERNS))))
+    every, hits = tuple(range(len(PATTERNS))), 0
+    for _ in range(150):
+        readings = [tuple(rng.choice(words) for _ in range(rng.choice([1, 1, 2, 4]))) for _ in range(rng.randint(2, 5))]
+        best = {}
+        for clause in itertools.product(*readings):
+            for kind, weight in score_clause(" ".join(clause)).items():
+                best[kind] = max(best.get(kind, 0.0), weight)
+        assert score_lattice(readings, every) == best, readings
+        hits += bool(best)
+    assert hits > 20
