@@ -44,6 +44,10 @@ def p3_pieces(spark, d):
     return split.split_pages(read_table(spark, d, "page_infos"))
 
 
+def p3_rebuilt(spark, d):
+    return split.rebuilt_pages(read_table(spark, d, "page_infos"))
+
+
 def p6_found(spark, d):
     best = survivor.best_representatives(read_table(spark, d, "route_results"), read_table(spark, d, "provider_trust"))
     return best.where(F.col("undisputed_route_id").isNotNull()).select(F.col("undisputed_route_id").alias("route_id"))
@@ -80,7 +84,7 @@ def p10_rates(spark, d):
 def queries():
     return {
         "p1_found": p1_found, "p1_entities": p1_entities, "p2_found": p2_found, "p2_values": p2_values, "p4_found": p4_found, "p4_places": p4_places,
-        "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_survivors": p6_survivors, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates,
+        "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_rebuilt": p3_rebuilt, "p6_found": p6_found, "p6_survivors": p6_survivors, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates,
     }
 
 
@@ -108,4 +112,8 @@ def _undisputed_sql() -> str:
 
 
 def oracle_sql():
-    return {"p3_found": "SELECT page_id FROM page_infos WHERE length(text) > 2000", "p6_found": _undisputed_sql()}
+    return {
+        "p3_found": "SELECT page_id FROM page_infos WHERE length(text) > 2000",
+        "p3_rebuilt": "SELECT page_id, md5(text) AS digest, true AS fits, true AS advances FROM page_infos WHERE text IS NOT NULL",
+        "p6_found": _undisputed_sql(),
+    }

@@ -63,10 +63,11 @@ def _atoms(text: str, start: int, end: int, size: int) -> tuple[list[int], list[
 
 
 def _overlap_start(text: str, start: int, end: int, overlap: int) -> int:
-    """Where the shared part begins: the first boundary within the last ``overlap`` characters."""
-    low = max(start, end - overlap)
-    if low == start:
-        return start
+    """Where the shared part begins: the strongest boundary within the last ``overlap`` characters, behind ``start``.
+
+    It lies behind the start of the piece that is shared, so that no piece holds another one whole.
+    """
+    low = min(max(start + 1, end - overlap), end)
     best = None
     for m in _WORDS.finditer(text, low, end):
         if m.end() < end:
@@ -126,22 +127,25 @@ def spans_of(text: Column, limit: int, overlap: int) -> Column:
     def spans(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else [{"start": a, "end": b} for a, b in split_spans(t, limit, overlap)])
 
-    return spans(text)
-
+    # Filters on the number of pieces must not be pushed below the call, which would split each text twice.
+    return spans.asNondeterministic()(text)
 
-def split_pages(pages: DataFrame, limit: int = 2000, overlap: int = 200) -> DataFrame:
-    """(page_id, source_file, number, piece_no, n_pieces, start, end, piece) for every page with text.
 
-    Texts within the limit pass as one piece without entering Python.
-    """
+def _spanned(pages: DataFrame, limit: int, overlap: int) -> DataFrame:
+    """Pages with text and the spans of their pieces; texts within the limit pass without entering Python."""
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and less than limit")
     base = pages.select("page_id", "source_file", "number", "text").where(F.col("text").isNotNull())
     over = F.char_length("text") > limit
     long = base.where(over).withColumn("_spans", spans_of(F.col("text"), limit, overlap))
     short = base.where(~over).withColumn("_spans", F.array(F.struct(F.lit(0).alias("start"), F.char_length("text").alias("end"))).cast(_SPANS))
+    return long.unionByName(short)
+
+
+def split_pages(pages: DataFrame, limit: int = 2000, overlap: int = 200) -> DataFrame:
+    """(page_id, source_file, number, piece_no, n_pieces, start, end, piece) for every page with text."""
     return (
-        long.unionByName(short)
+        _spanned(pages, limit, overlap)
         .select("page_id", "source_file", "number", "text", F.size("_spans").alias("n_pieces"), F.posexplode("_spans").alias("_pos", "_span"))
         .select(
             "page_id", "source_file", "number", (F.col("_pos") + 1).alias("piece_no"), "n_pieces",
@@ -151,6 +155,21 @@ def split_pages(pages: DataFrame, limit: int = 2000, overlap: int = 200) -> Data
     )
 
 
+def rebuilt_pages(pages: DataFrame, limit: int = 2000, overlap: int = 200) -> DataFrame:
+    """(page_id, digest, fits, advances): the text put together again from its pieces, and whether each piece keeps the rules.
+
+    ``digest`` is the MD5 of the pieces without their shared parts. ``fits``: no piece is longer
+    than the limit. ``advances``: each piece starts and ends behind its predecessor's start and
+    end, leaves no gap and shares at most ``overlap`` characters.
+    """
+    at = F.col("_spans")
+    pairs = F.zip_with(F.slice(at, 1, F.size(at) - 1), F.slice(at, 2, F.size(at)), lambda a, b: (
+        (a["start"] < b["start"]) & (b["start"] <= a["end"]) & (a["end"] < b["end"]) & (a["end"] - b["start"] <= overlap)))
+    parts = F.transform(at, lambda s, i: F.substring("text", F.when(i == 0, 0).otherwise(F.get(at, i - 1)["end"]) + 1, s["end"] - F.when(i == 0, 0).otherwise(F.get(at, i - 1)["end"])))
+    return _spanned(pages, limit, overlap).select(
+        "page_id", F.md5(F.concat_ws("", parts)).alias("digest"), F.forall(at, lambda s: s["end"] - s["start"] <= limit).alias("fits"), F.forall(pairs, lambda x: x).alias("advances"))
+
+
 def oversized_pages(pages: DataFrame, limit: int = 2000, overlap: int = 200) -> DataFrame:
     """Ids of the pages that came out in more than one piece, each once."""
     pieces = split_pages(pages, limit, overlap)
