@@ -6,6 +6,7 @@ import re
 import pytest
 from conftest import DATA
 
+from tallyframe.llm import abuse
 from tallyframe.llm.abuse import PATTERNS, THRESHOLD, _build, _possible, _word_bits, score_clause, score_documents, score_lattice, score_text, source_rates
 
 BAD = [
@@ -100,3 +101,27 @@ def test_lattice_equals_all_readings():
         assert score_lattice(readings, every) == best, readings
         hits += bool(best)
     assert hits > 20
+
+
+def test_words_that_insult_only_in_company():
+    for text in ("push the code to the git repository", "Jamaican jerk marinade", "Dick Jansen, Rotterdam office", "Familie Penner", "you absolute star", "what a useless invoice"):
+        assert sum(abuse.score_text(text)) < abuse.THRESHOLD, text
+    for text in ("you jerk", "what a stupid git", "you absolute plonker", "You idiot, report me for harassment if you like"):
+        assert sum(abuse.score_text(text)) >= abuse.THRESHOLD, text
+
+
+def test_weights_differ_by_gravity():
+    assert abuse.score_text("You will die")[0] > abuse.score_text("you jerk")[0]
+
+
+def test_key_parts_lose_no_rule():
+    """The rules found by key parts are those found by trying every alternative."""
+    runs, needs = abuse._required()
+    rules = len(abuse.PATTERNS)
+    for text in ("you are a lazy cow", "shut your mouth", "send those people back", "the invoice is overdue", "i will break your legs", "a bastard cut file for you idiots"):
+        found = 0
+        for word in text.split():
+            found |= abuse._word_bits(abuse._squeeze(word))
+        slow = {k for k, ways in enumerate(needs) if any(need & ~found == 0 for need in ways)}
+        assert set(abuse._possible(found)) == {k for k in slow if k < rules}
+        assert set(abuse._softened(found)) == {k - rules for k in slow if k >= rules}
