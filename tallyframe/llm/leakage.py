@@ -1,16 +1,25 @@
 """Evaluation texts that leaked into a corpus (problem 9).
 
-A prefix-filtered set join of the items' five-word shingles with the documents. One pass counts
-in how many documents each item shingle occurs; shingles are ordered by that rarity, and only a
-document that shares one of an item's rarest shingles (the prefix any leak must meet) is looked
-at. A length bound drops documents too short to hold half an item. What remains is verified
-exactly: shared shingles are joined to runs of equal words, runs that follow one another with at
-most a few altered words between them to passages, and the words of the item so covered are
-counted over item-sized windows of the whole document.
+A prefix-filtered join of the items' five-word shingles with the documents.
+
+1. Each text is cut into words once, in Arrow batches. The shingles it shares with an item are
+   kept with their places; a small table of the items' shingles serves as the filter. Texts
+   that share none go no further; what is kept is written once.
+2. The kept shingles are counted over all documents, and each item's shingles are ordered by
+   that rarity. Its prefix is what is left when the most frequent ones are set aside as long as
+   they alone could not cover the asked share: every leak must hold a shingle of the prefix.
+3. Kept shingles and prefixes meet in an equi-join; a length bound drops documents too short.
+4. The pairs that met are verified exactly: shared shingles form runs of equal words, runs that
+   follow one another with at most a few altered words between them form passages, and the
+   item's words so covered are counted over the whole document. A positional bound on the item's
+   side settles most pairs before that.
 
 The items are a stated query set: they are taken in blocks of at most ``block_words`` words, so
-what is broadcast is bounded however many items there are, and documents are never shuffled.
-Each row is judged by itself, so skewed sources or repeated texts cost nothing extra.
+the filter is bounded however many items there are. Texts are never shuffled, only places of
+shared shingles.
+
+Words are compared exactly. A second reading serves scanned texts: a word that is no word of any
+item is read as the item word from which it differs only by letters that scanning confuses.
 
 Defined results: null and empty texts and passages are no case. A passage that ends up with
 fewer than ``shingle`` words is matched as one whole run. Fragments under ``min_run`` words are
@@ -19,32 +28,65 @@ stock phrases and count for nothing. Repeated rows give one row a document and i
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_WORD = re.compile(r"[^\W_]+")
-_BROKEN = re.compile(r"(?<=[^\W\d_])[-‐‑]\s*[\r\n]+\s*(?=[a-zäöüßéèàñ])")
-_HIDDEN = re.compile("[­​-‏⁠﻿]")
+from tallyframe.session import cut_lineage
 
+_WORD = re.compile(r"[^\W_]+")
+_BROKEN = re.compile(r"[-‐‑](?<=[^\W\d_][-‐‑])\s*[\r\n]+\s*(?=[a-zäöüßéèàñ])")
+_HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 
-# Letters that scanning confuses are read as one on both sides.
+# Letters that scanning confuses.
 _CONFUSED = str.maketrans("015ice8", "olsleeb")
 
 
-def words_of(text: str) -> list[str]:
-    """Words in comparable form: whatever the layout, width, case, accents, hidden characters, line-end hyphens and scanning slips."""
+def plain_words(text: str) -> list[str]:
+    """Words whatever the layout, width, case, accents, hidden characters and line-end hyphens."""
     if not text.isascii():
         text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text))
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-    return _WORD.findall(_BROKEN.sub("", text).casefold().replace("rn", "m").translate(_CONFUSED))
+        if not text.isascii():
+            text = unicodedata.normalize("NFKD", text)
+            for c in {c for c in set(text) if unicodedata.combining(c)}:
+                text = text.replace(c, "")
+    if "\n" in text or "\r" in text:
+        text = _BROKEN.sub("", text)
+    return _WORD.findall(text.casefold())
+
+
+def scanned(word: str) -> str:
+    """The word with letters that scanning confuses read as one."""
+    return word.replace("rn", "m").translate(_CONFUSED)
+
+
+def words_of(text: str) -> list[str]:
+    """Words in the reading that undoes scanning slips."""
+    return [scanned(w) for w in plain_words(text)]
+
+
+class _WordIds(dict):
+    """Ids of words met so far: that of the item word, else that of the item word it is a scanning slip of, else -1."""
+
+    def __init__(self, vocabulary: dict[str, int], slipped: dict[str, int]):
+        super().__init__()
+        self.vocabulary, self.slipped = vocabulary, slipped
+
+    def __missing__(self, word: str) -> int:
+        found = self.vocabulary.get(word, -1)
+        if found < 0:
+            found = self.slipped.get(scanned(word), -1)
+        if len(self) > 1 << 20:
+            self.clear()
+        self[word] = found
+        return found
 
 
 class ItemIndex:
@@ -52,7 +94,7 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[int, str]], shingle: int = 5):
         self.shingle = shingle
-        self.words = {i: words_of(p) for i, p in items if p}
+        self.words = {i: plain_words(p) for i, p in items if p}
         self.words = {i: w for i, w in self.words.items() if w}
         self.places: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
         for i, w in self.words.items():
@@ -61,6 +103,57 @@ class ItemIndex:
                 self.places[tuple(w[p : p + k])].append((i, p))
         self.ids = {s: n for n, s in enumerate(self.places)}
         self.short = {len(s) for s in self.places if len(s) < shingle}
+        self.item_ids = list(self.words)
+        self.sizes = np.array([len(w) for w in self.words.values()], dtype=np.int64)
+        number = {i: n for n, i in enumerate(self.item_ids)}
+        counts = [len(v) for v in self.places.values()]
+        self.starts = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).astype(np.int64)
+        self.place_item = np.array([number[i] for v in self.places.values() for i, _ in v], dtype=np.int64)
+        self.place_pos = np.array([p for v in self.places.values() for _, p in v], dtype=np.int64)
+        self.vocabulary = {w: n for n, w in enumerate(sorted({x for s in self.places for x in s}))}
+        slipped: dict[str, int] = {}
+        for w, n in self.vocabulary.items():
+            slipped.setdefault(scanned(w), n)
+        self.word_ids = _WordIds(self.vocabulary, slipped)
+        self._levels = {k: self._narrow(k) for k in sorted({len(s) for s in self.places})}
+
+    def _narrow(self, k: int) -> list[np.ndarray]:
+        """Sorted codes of the beginnings of all shingles of ``k`` words, a table a length; the last is followed by the shingles' ids."""
+        rows = [(tuple(self.vocabulary[w] for w in s), n) for s, n in self.ids.items() if len(s) == k]
+        base, code = len(self.vocabulary) + 1, np.array([r[0] for r in rows], dtype=np.int64)
+        at, tables = code[:, 0], []
+        for j in range(1, k):
+            full = at * base + code[:, j]
+            table = np.unique(full)
+            at = np.searchsorted(table, full)
+            tables.append(table)
+        ids = np.empty(len(rows), dtype=np.int64)
+        # With one word a shingle the code is the word itself.
+        if k == 1:
+            table = np.unique(at)
+            at = np.searchsorted(table, at)
+            tables.append(table)
+        ids[at] = [n for _, n in rows]
+        return [*tables, ids]
+
+    def shared(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, shingle ids) of the item shingles in a row of word ids, -1 standing for any other word."""
+        base, at, found = len(self.vocabulary) + 1, [], []
+        for k, (*tables, shingle_ids) in self._levels.items():
+            place = np.flatnonzero(ids[: max(0, len(ids) - k + 1)] >= 0)
+            code = ids[place]
+            for j, table in enumerate(tables, 1):
+                if k > 1:
+                    nxt = ids[place + j]
+                    place, code = place[nxt >= 0], code[nxt >= 0] * base + nxt[nxt >= 0]
+                here = np.searchsorted(table, code)
+                ok = table[np.minimum(here, len(table) - 1)] == code
+                place, code = place[ok], here[ok]
+            at.append(place)
+            found.append(shingle_ids[code])
+        at, found = np.concatenate(at or [np.zeros(0, dtype=np.int64)]), np.concatenate(found or [np.zeros(0, dtype=np.int64)])
+        order = np.argsort(at, kind="stable")
+        return at[order], found[order]
 
     def shingles(self, words: list[str]) -> Iterator[tuple[int, tuple]]:
         places = self.places
@@ -70,18 +163,45 @@ class ItemIndex:
                     yield p, s
 
 
-def prefixes(index: ItemIndex, frequency: dict[int, int], share: float, min_run: int, max_gap: int) -> dict[tuple, set[int]]:
-    """The rarest shingles of each item, one of which every document with ``share`` of its words must hold."""
-    prefix: dict[tuple, set[int]] = defaultdict(set)
-    for item, words in index.words.items():
-        k = min(index.shingle, len(words))
-        own = sorted({tuple(words[p : p + k]) for p in range(len(words) - k + 1)}, key=lambda s: (frequency.get(index.ids[s], 0), s))
-        # At least one shingle is intact in every shingle and gap that a leak covers.
-        repeats = (len(words) - k + 1) - len(own)
-        least = math.ceil(share * len(words) / (k + max_gap)) - repeats
-        for s in own[: len(own) - max(1, least) + 1]:
-            prefix[s].add(item)
-    return prefix
+def coverable(places: np.ndarray, group: np.ndarray, k: np.ndarray, min_run: np.ndarray, max_gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """(groups, words of the item that shingles at ``places`` could cover at most); sorted by group and place.
+
+    Neighbours at most ``max_gap`` words apart bridge the gap; a stretch with fewer than
+    ``min_run`` words in shingles counts for nothing.
+    """
+    new = np.ones(len(places), dtype=bool)
+    new[1:] = group[1:] != group[:-1]
+    step = np.diff(places, prepend=places[:1])
+    stretch = new | (step - k > max_gap)
+    first = np.flatnonzero(stretch)
+    equal = np.add.reduceat(np.where(stretch, k, np.minimum(step, k)), first)
+    last = np.append(first[1:], len(places)) - 1
+    span = np.where(equal >= min_run[first], places[last] + k[last] - places[first], 0)
+    start = np.flatnonzero(new[first])
+    return group[first][start], np.add.reduceat(span, start)
+
+
+def prefix_of(words: list[str], frequency: dict[tuple, int], shingle: int, share: float, min_run: int, max_gap: int) -> list[tuple]:
+    """The rarest shingles of an item, one of which every document with ``share`` of its words must hold.
+
+    The most frequent ones are set aside as long as the words they could cover stay under the share.
+    """
+    k = min(shingle, len(words))
+    at: dict[tuple, list[int]] = defaultdict(list)
+    for p in range(len(words) - k + 1):
+        at[tuple(words[p : p + k])].append(p)
+    own = sorted(at, key=lambda s: (-frequency.get(s, 0), s))
+    low, high = 0, len(own) - 1
+    while low < high:
+        middle = (low + high + 1) // 2
+        places = np.sort(np.array([p for s in own[:middle] for p in at[s]], dtype=np.int64))
+        same = np.full(len(places), k)
+        _, most = coverable(places, np.zeros(len(places), dtype=np.int64), same, np.full(len(places), min(min_run, len(words))), max_gap)
+        if most[0] < share * len(words):
+            low = middle
+        else:
+            high = middle - 1
+    return own[low:]
 
 
 def covered_share(hits: list[tuple[int, int]], size: int, shingle: int, min_run: int, max_gap: int) -> float:
@@ -117,33 +237,38 @@ def covered_share(hits: list[tuple[int, int]], size: int, shingle: int, min_run:
     return sum(taken) / size
 
 
-def leaked_items(text: str, index: ItemIndex, prefix: dict[tuple, set[int]], share: float, min_run: int, max_gap: int) -> list[tuple[int, float]]:
-    words = words_of(text)
-    found = list(index.shingles(words))
-    candidates: set[int] = set()
-    for _, s in found:
-        candidates |= prefix.get(s, set())
-    candidates = {i for i in candidates if len(words) >= share * len(index.words[i])}
-    if not candidates:
-        return []
+def verified(index: ItemIndex, docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], share: float, min_run: int, max_gap: int) -> list[list[tuple[int, float]]]:
+    """(item_id, share) of the candidates of each document that hold; a document is (places, shingle ids, candidate item numbers)."""
+    out: list[list[tuple[int, float]]] = [[] for _ in docs]
+    n_items = len(index.item_ids)
+    owner = np.repeat(np.arange(len(docs)), [len(d[0]) for d in docs])
+    at, ids = (np.concatenate([np.asarray(d[j], dtype=np.int64) for d in docs]) for j in (0, 1))
+    wanted = np.unique(np.concatenate([n * n_items + np.asarray(d[2], dtype=np.int64) for n, d in enumerate(docs)]))
+    many = index.starts[ids + 1] - index.starts[ids]
+    slot = np.repeat(index.starts[ids] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+    owner, at = np.repeat(owner, many), np.repeat(at, many)
+    group, place = owner * n_items + index.place_item[slot], index.place_pos[slot]
+    keep = np.isin(group, wanted)
+    owner, at, group, place = owner[keep], at[keep], group[keep], place[keep]
+    if not len(group):
+        return out
+    order = np.lexsort((place, group))
+    sizes = index.sizes[group[order] % n_items]
+    groups, most = coverable(place[order], group[order], np.minimum(index.shingle, sizes), np.minimum(min_run, sizes), max_gap)
+    good = groups[most >= share * index.sizes[groups % n_items]]
+    keep = np.isin(group, good)
     hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for d, s in found:
-        for i, p in index.places[s]:
-            if i in candidates:
-                hits[i].append((d, p))
-    out = []
-    for i, places in hits.items():
-        size = len(index.words[i])
-        k = min(index.shingle, size)
-        # Positional bound: each shared place covers at most a shingle and the gap behind it.
-        if len({p for _, p in places}) * (k + max_gap) < share * size:
-            continue
-        c = covered_share(places, size, k, min_run, max_gap)
-        if c >= share:
-            out.append((i, c))
-    return sorted(out)
+    for g, a, p in zip(group[keep].tolist(), at[keep].tolist(), place[keep].tolist()):
+        hits[g].append((a, p))
+    for g, places in hits.items():
+        size = int(index.sizes[g % n_items])
+        part = covered_share(places, size, min(index.shingle, size), min_run, max_gap)
+        if part >= share:
+            out[g // n_items].append((index.item_ids[g % n_items], part))
+    return out
 
 
+_SHARED = T.StructType().add("n_words", T.IntegerType()).add("at", T.ArrayType(T.IntegerType())).add("ids", T.ArrayType(T.IntegerType()))
 _LEAKS = T.ArrayType(T.StructType().add("item_id", T.LongType()).add("share", T.DoubleType()))
 
 
@@ -168,32 +293,56 @@ def find_leaks(
     texts = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (F.char_length("text") > 0))
     out = None
     for block in _blocks(items, block_words):
+        own = ItemIndex(block, shingle)
+        if not own.places:
+            continue
         shared = spark.sparkContext.broadcast((block, shingle))
-        indexes: dict = {}
+        cache: dict = {}
 
-        def index_of(shared=shared, cache=indexes) -> ItemIndex:
+        def index_of(shared=shared, cache=cache) -> ItemIndex:
             if "index" not in cache:
                 cache["index"] = ItemIndex(*shared.value)
             return cache["index"]
 
-        @F.pandas_udf(T.ArrayType(T.IntegerType()))
-        def present(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.pandas_udf(_SHARED)
+        def shared_shingles(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             index = index_of()
+            word_ids = index.word_ids
             for batch in batches:
-                yield batch.map(lambda t: sorted({index.ids[s] for _, s in index.shingles(words_of(t))}))
-
-        counts = texts.select(F.explode(present("text")).alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"))
-        frequency = spark.sparkContext.broadcast({r["shingle"]: r["n"] for r in counts.collect()})  # at most the shingles of one block
+                row, sizes = [], []  # the texts' word ids in a row, -1 between them
+                for text in batch:
+                    words = plain_words(text)
+                    row += [word_ids[w] for w in words]
+                    row.append(-1)
+                    sizes.append(len(words))
+                at, ids = index.shared(np.array(row, dtype=np.int64))
+                starts = np.cumsum([0, *(n + 1 for n in sizes)])
+                cuts = np.searchsorted(at, starts)
+                parts = list(zip(cuts[:-1], cuts[1:]))
+                yield pd.DataFrame({"n_words": sizes, "at": [at[a:b] - start for start, (a, b) in zip(starts, parts)], "ids": [ids[a:b] for a, b in parts]})
 
         @F.pandas_udf(_LEAKS)
-        def verify(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def verify(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
             index = index_of()
-            prefix = prefixes(index, frequency.value, share, min_run, max_gap)
             for batch in batches:
-                yield batch.map(lambda t: [{"item_id": i, "share": c} for i, c in leaked_items(t, index, prefix, share, min_run, max_gap)])
-
-        found = texts.select("doc_id", F.inline(verify("text")))
-        out = found if out is None else out.unionByName(found)
+                found = verified(index, list(zip(*batch)), share, min_run, max_gap) if len(batch[0]) else []
+                yield pd.Series([[{"item_id": i, "share": c} for i, c in row] for row in found], dtype=object)
+
+        kept = texts.select("doc_id", shared_shingles.asNondeterministic()("text").alias("h")).where(F.size("h.ids") > 0)
+        kept = cut_lineage(kept.select(F.monotonically_increasing_id().alias("row"), "doc_id", "h.*"))
+        each = kept.select("row", "n_words", F.explode(F.array_distinct("ids")).alias("shingle"))
+        # One row a shingle of the block's items, however many documents there are.
+        counts = {r["shingle"]: r["n"] for r in each.groupBy("shingle").agg(F.count("*").alias("n")).toLocalIterator()}
+        frequency = {s: counts.get(n, 0) for s, n in own.ids.items()}
+        prefixes = [
+            (own.ids[s], n, len(words)) for n, words in enumerate(own.words.values()) for s in prefix_of(words, frequency, shingle, share, min_run, max_gap)
+        ]
+        prefix = spark.createDataFrame(prefixes, "shingle int, item int, size int")
+        # A block has at most ``block_words`` such rows of three integers.
+        met = each.join(F.broadcast(prefix), "shingle").where(F.col("n_words") >= F.col("size") * share)
+        candidates = met.groupBy("row").agg(F.collect_set("item").alias("items"))  # at most the items of one block
+        checked = kept.join(candidates, "row").select("doc_id", F.inline(verify("at", "ids", "items")))
+        out = checked if out is None else out.unionByName(checked)
     if out is None:
         return spark.createDataFrame([], "doc_id bigint, item_id bigint, share double")
     return out.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
