@@ -20,27 +20,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def coerce_decimal(col: Column, kind: str = MONEY) -> Column:
     """Typed or printed amount to a decimal; null when it is none.
 
-    Parentheses negate a positive amount. Everything but digits, both separators and the
+    Parentheses negate an amount without sign. Everything but digits, both separators and the
     minus is dropped. With both separators the last one is the decimal mark; commas alone
-    are decimal only when there is exactly one with one or two digits behind it.
+    are decimal only when there is exactly one with one or two digits behind it. The kept
+    characters are one common subexpression, so generated code computes them once.
     """
-
-    def of(text: Column) -> Column:
-        def number(kept: Column) -> Column:
-            both = F.contains(kept, F.lit(",")) & F.contains(kept, F.lit("."))
-            comma_last = F.instr(F.reverse(kept), ",") < F.instr(F.reverse(kept), ".")
-            plain = (
-                F.when(both & comma_last, F.replace(F.replace(kept, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
-                .when(both, F.replace(kept, F.lit(","), F.lit("")))
-                .when(kept.rlike(r"^-?\d*,\d{1,2}$"), F.replace(kept, F.lit(","), F.lit(".")))
-                .otherwise(F.replace(kept, F.lit(","), F.lit("")))
-            )
-            return F.nullif(plain, F.lit("")).try_cast(kind)
-
-        value = let(F.regexp_replace(text, r"[^0-9.,\-]", ""), number)
-        return let(value, lambda v: F.when(text.rlike(r"^\(.*\)$") & (v > 0), -v).otherwise(v))
-
-    return let(strip(col), of)
+    kept = F.regexp_replace(col, r"[^0-9.,\-]", "")
+    both = F.contains(kept, F.lit(",")) & F.contains(kept, F.lit("."))
+    comma_last = F.substring_index(kept, ",", -1).contains(".") == F.lit(False)
+    plain = (
+        F.when(both & comma_last, F.translate(kept, ",.", "."))
+        .when(~both & kept.rlike(r"^-?\d*,\d{1,2}\z"), F.translate(kept, ",", "."))
+        .otherwise(F.translate(kept, ",", ""))
+    )
+    negated = col.rlike(r"(?U)^\s*\(.*\)\s*\z") & ~kept.startswith("-")
+    return F.when(negated, F.concat(F.lit("-"), plain)).otherwise(plain).try_cast(kind)
 
 
 def ratio(num: Column, den: Column, places: int = 4) -> Column:

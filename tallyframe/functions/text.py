@@ -6,9 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# The characters of the Unicode property White_Space.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_BLANK = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
 def strip(col: Column) -> Column:
-    """Trim every Unicode blank (``trim`` alone removes only U+0020)."""
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+    """Trim every Unicode blank (``trim`` alone removes only U+0020); no pattern is run."""
+    return F.btrim(col, F.lit(BLANKS))
 
 
 def blank_to_null(col: Column) -> Column:
@@ -17,7 +22,7 @@ def blank_to_null(col: Column) -> Column:
 
 def collapse_key(col: Column) -> Column:
     """Comparison key of the merge: blanks collapsed, lower case."""
-    return F.lower(strip(F.regexp_replace(col, r"(?U)\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(col, _BLANK, " ")))
 
 
 def basename(col: Column) -> Column:

@@ -34,16 +34,17 @@ def merge_headers(routes: DataFrame) -> DataFrame:
     One normalised value: its first occurrence. Several: amounts take the value of the closing
     route, else the last one stated; other fields the first one stated.
     """
-    raw = F.array(*[F.struct(F.lit(f).alias("field"), F.col("invoice")[f].alias("raw"), F.lit(f in MONEY_FIELDS).alias("money")) for f in HEADER_FIELDS])
-    value = lambda e: F.when(e["money"], coerce_decimal(e["raw"]).cast("string")).otherwise(blank_to_null(e["raw"]))
-    valued = F.transform(raw, lambda e: F.struct(e["field"].alias("field"), value(e).alias("value"), e["money"].alias("money")))
-    stated = F.transform(
-        F.filter(valued, lambda e: e["value"].isNotNull()),
-        lambda e: F.struct(e["field"].alias("field"), e["value"].alias("value"), F.when(e["money"], e["value"]).otherwise(collapse_key(e["value"])).alias("norm")),
-    )
+    # Unpivoted first, so that the rules are generated code over one column.
+    raw = F.array(*[F.struct(F.lit(f).alias("field"), F.col("invoice")[f].alias("raw")) for f in HEADER_FIELDS])
     ordered = ordered_routes(routes)
     closing = ordered.groupBy("file_key").agg(F.max("_last").alias("_closing"))
-    long = ordered.select("file_key", "_first", "_last", F.inline(stated))
+    money = F.col("field").isin(MONEY_FIELDS)
+    long = (
+        ordered.select("file_key", "_first", "_last", F.inline(raw)).where(F.col("raw").isNotNull())
+        .withColumn("value", F.when(money, coerce_decimal(F.col("raw")).cast("string")).otherwise(blank_to_null(F.col("raw"))))
+        .where(F.col("value").isNotNull())
+        .withColumn("norm", F.when(money, F.col("value")).otherwise(collapse_key(F.col("value")))).drop("raw")
+    )
     marked = long.join(closing, "file_key").withColumn("_at_end", F.col("_last") == F.col("_closing"))
     grouped = marked.groupBy("file_key", "field").agg(
         F.min_by("value", "_first").alias("first"), F.max_by("value", "_first").alias("last"),
