@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 # The characters of the Unicode property White_Space.
@@ -25,6 +29,34 @@ def collapse_key(col: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(col, _BLANK, " ")))
 
 
+@F.pandas_udf(T.StringType())
+def _compatible_fold(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+
+
+def compatible_fold(col: Column) -> Column:
+    """NFKC and case folding; only texts beyond ASCII enter Python, in Arrow batches."""
+    plain = col.rlike(r"^[\x00-\x7f]*\z")
+    return F.coalesce(F.when(plain, F.lower(col)), _compatible_fold(F.when(~plain, col)))
+
+
+def scored_text(col: Column) -> Column:
+    """Comparison key of the scoring: NFKC, blanks collapsed, case folded."""
+    return F.trim(F.regexp_replace(compatible_fold(col), _BLANK, " "))
+
+
+def scored_identifier(col: Column) -> Column:
+    """Comparison key of identifiers: NFKC, outer blanks off, case folded; inner blanks and hyphens count."""
+    return strip(compatible_fold(col))
+
+
+def redact(col: Column, secrets: list[str]) -> Column:
+    """The text with each configured secret replaced by a mark; empty secrets are ignored."""
+    for secret in sorted({x for x in secrets if x}, key=len, reverse=True):
+        col = F.replace(col, F.lit(secret), F.lit("[redacted]"))
+    return col
+
+
 def basename(col: Column) -> Column:
     """Last path element with either separator; case is kept."""
     return F.substring_index(F.replace(col, F.lit("\\"), F.lit("/")), "/", -1)
@@ -84,8 +116,18 @@ def flatten_truncate(col: Column, limit: int) -> Column:
     return F.when(F.length(flat) > limit, F.concat(F.left(flat, F.lit(limit)), F.lit("...[truncated]"))).otherwise(flat)
 
 
+@F.pandas_udf(T.StringType())
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def _compatible(col: Column) -> Column:
+    plain = col.rlike(r"^[\x00-\x7f]*\z")
+    return F.coalesce(F.when(plain, col), _nfkc(F.when(~plain, col)))
+
+
 def sanitize_filename(col: Column) -> Column:
     """Basename, safe characters, at most 80 of them, always a ``.pdf`` name."""
-    stem = F.regexp_replace(basename(col), r"(?i)\.pdf$", "")
+    stem = F.regexp_replace(basename(_compatible(col)), r"(?i)\.pdf$", "")
     safe = F.regexp_replace(F.regexp_replace(stem, r"[^A-Za-z0-9._-]+", "_"), r"^[._]+|[._]+$", "")
     return F.concat(F.left(F.when(safe == "", "file").otherwise(safe), F.lit(76)), F.lit(".pdf"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.operators.numbering import global_running_sum
+from tallyframe.operators.numbering import global_row_number, global_running_sum
 
 
 def usage_summary(usage: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -37,17 +37,53 @@ def average_cost(usage: DataFrame) -> DataFrame:
 
 
 def model_table(usage: DataFrame) -> DataFrame:
-    """By served model (else the requested one): requests, acceptance, tokens, cost, and the set of bases the cost rests on."""
-    served = F.coalesce(F.nullif(F.col("actual_model"), F.lit("")), F.col("requested_model"))
-    basis = F.when(F.col("cost_usd").isNull(), "unknown").otherwise("reported")
-    return usage.groupBy(served.alias("model")).agg(
-        F.count("*").alias("requests"), F.count_if(F.col("accepted")).alias("accepted"),
-        F.sum(F.coalesce("total_tokens", F.lit(0))).alias("tokens"),
-        F.sum(F.coalesce("cost_usd", F.lit(0).cast("decimal(28,10)"))).cast("double").alias("cost"),
-        F.array_join(F.array_sort(F.collect_set(basis)), "+").alias("basis"),
+    """By served model, else the requested one: requests by type, acceptance, tokens, cost, latency, and which of the two names were used."""
+    stated = F.nullif(F.col("actual_model"), F.lit(""))
+    basis = F.when(stated.isNotNull(), "actual_model").otherwise("requested_model")
+    rows = usage.withColumns({"_model": F.coalesce(stated, F.nullif(F.col("requested_model"), F.lit(""))), "_basis": basis}).where("_model is not null")
+    return rows.groupBy(F.col("_model").alias("model")).agg(
+        F.array_join(F.array_sort(F.collect_set("_basis")), "+").alias("model_basis"), F.count("*").alias("requests"), *[F.count_if(F.col("attempt_type") == k).alias(k) for k in ("primary", "repair", "escalation")],
+        F.count_if(F.col("accepted")).alias("accepted"), F.sum(F.coalesce("total_tokens", F.lit(0))).alias("total_tokens"),
+        F.sum(F.coalesce("cost_usd", F.lit(0).cast("decimal(28,10)"))).cast("double").alias("reported_cost"), F.count_if(F.col("cost_usd").isNull()).alias("unknown_cost_requests"),
     )
 
 
+def attempt_counts(usage: DataFrame) -> DataFrame:
+    """By file: requests in all and of each type; other types count in the total only."""
+    return usage.groupBy("source_file").agg(F.count("*").alias("total"), *[F.count_if(F.col("attempt_type") == k).alias(k) for k in ("primary", "repair", "escalation")])
+
+
+def cost_summary(usage: DataFrame) -> DataFrame:
+    """One row: files, requests, cost and its average a file, null unless a request reported a cost, and whether some did not."""
+    cost, n, files = F.sum("cost_usd"), F.count("*"), F.count_distinct("source_file")
+    unknown = F.count_if(F.col("cost_usd").isNull())
+    there = (n > 0) & (unknown < n)
+    return usage.agg(
+        files.alias("files"), n.alias("requests"), unknown.alias("unknown_cost_requests"), there.alias("available"), F.when(there, cost.cast("double")).alias("total"),
+        F.when(there & (files > 0), F.bround(cost.cast("double") / files, 6)).alias("average"), (there & (unknown > 0)).alias("incomplete"))
+
+
+def format_usage_summary(usage: DataFrame) -> str:
+    """The usage figures as text; two small aggregates reach the driver, one row and one row a model."""
+    total = usage_summary(usage).first()
+    lines = [
+        f"Requests: {total['requests']} (primary {total['n_primary']}, repair {total['n_repair']}, escalation {total['n_escalation']})",
+        f"Accepted: {total['accepted']}, rejected: {total['requests'] - total['accepted']}", f"Tokens: {total['tokens'] or 0}",
+        f"Cost (USD): {total['cost'] or 0}" + (f", incomplete: {total['unknown_cost']} without cost" if total["unknown_cost"] else ""),
+    ]
+    by_model = usage_summary(usage, ["requested_model"]).orderBy("requested_model").toLocalIterator()
+    return "\n".join([*lines, *(f"  {r['requested_model']}: {r['accepted']} accepted, cost {r['cost']}" for r in by_model)])
+
+
+def in_run_order(usages: list[DataFrame]) -> DataFrame:
+    """Usage rows of several runs or files one after the other, numbered in that order (``seq``)."""
+    parts = [u.withColumn("_part", F.lit(n)).withColumn("_at", F.monotonically_increasing_id()) for n, u in enumerate(usages)]
+    rows = parts[0]
+    for other in parts[1:]:
+        rows = rows.unionByName(other)
+    return global_row_number(rows, [F.col("_part").asc(), F.col("_at").asc()], "seq").drop("_part", "_at")
+
+
 def climb_ladder(attempts: DataFrame) -> DataFrame:
     """Attempts that a ladder makes: models up to the first accepted one of each chunk, repairs only after malformed primaries."""
     chunk = ["file", "chunk"]

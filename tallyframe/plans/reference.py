@@ -393,8 +393,9 @@ def q_average_cost(spark, d):
 
 
 @query(
-    f"SELECT coalesce(nullif(actual_model, ''), requested_model) AS model, count(*) AS requests, count(*) FILTER (WHERE accepted) AS accepted, CAST(sum(coalesce(total_tokens, 0)) AS BIGINT) AS tokens, CAST(sum(coalesce(cost_usd, 0)) AS DOUBLE) AS cost, "
-    f"string_agg(DISTINCT CASE WHEN cost_usd IS NULL THEN 'unknown' ELSE 'reported' END, '+' ORDER BY CASE WHEN cost_usd IS NULL THEN 'unknown' ELSE 'reported' END) AS basis FROM ({_USAGE}) GROUP BY 1"
+    f"SELECT coalesce(nullif(actual_model, ''), requested_model) AS model, string_agg(DISTINCT b, '+' ORDER BY b) AS model_basis, count(*) AS requests, count(*) FILTER (WHERE attempt_type = 'primary') AS primary, "
+    "count(*) FILTER (WHERE attempt_type = 'repair') AS repair, count(*) FILTER (WHERE attempt_type = 'escalation') AS escalation, count(*) FILTER (WHERE accepted) AS accepted, CAST(sum(coalesce(total_tokens, 0)) AS BIGINT) AS total_tokens, "
+    f"CAST(sum(coalesce(cost_usd, 0)) AS DOUBLE) AS reported_cost, count(*) FILTER (WHERE cost_usd IS NULL) AS unknown_cost_requests FROM (SELECT *, CASE WHEN actual_model <> '' THEN 'actual_model' ELSE 'requested_model' END AS b FROM ({_USAGE})) GROUP BY 1"
 )
 def q_model_table(spark, d):
     return usage.model_table(_usage(spark, d))
@@ -480,7 +481,7 @@ def _line_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 @query(_TIERS + " SELECT * FROM p1")
 def q_lines_tier1(spark, d):
     e, a = _line_sides(spark, d)
-    return linkage.match_exact(e, a)[0].where("method = 'line_no'")
+    return linkage.match_exact(e, a, tiers=1)[0]
 
 
 @query(_TIERS + " SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT case_id, idx, NULL, 'missing' FROM e3 UNION ALL SELECT case_id, NULL, idx, 'extra' FROM a3")
@@ -510,27 +511,44 @@ def q_case_match_status(spark, d):
 
 @query(f"WITH {_CASES} SELECT DISTINCT {_base('source_file')} AS file FROM invoices WHERE source_file IS NOT NULL AND {_base('source_file')} NOT IN (SELECT file FROM cases WHERE file IS NOT NULL)")
 def q_extra_sources(spark, d):
-    cases = scoring.current_cases(read_table(spark, d, "annotations")).select("file")
-    return read_table(spark, d, "invoices").where("source_file is not null").select(text.basename(F.col("source_file")).alias("file")).distinct().join(cases, "file", "left_anti")
+    return scoring.extra_sources(scoring.current_cases(read_table(spark, d, "annotations")), read_table(spark, d, "invoices"))
 
 
-def _cell(f: str, kind: str) -> str:
-    e, a = f"nullif(invoice['{f}'], '')", _null(f"r_{f}")
+_FOLD = "replace(lower({x}), 'ß', 'ss')"
+# The annotated fields by hand: name, extracted field, comparison.
+_SCORED_SQL = [
+    ("invoice_number", "invoice_number", "identifier"), ("invoice_date", "invoice_date", "date"), ("seller_name", "seller_name", "text"), ("seller_address", "seller_address", "text"),
+    ("buyer_name", "buyer_name", "text"), ("buyer_address", "buyer_address", "text"), ("currency", "currency", "text"), ("subtotal", "subtotal", "number"), ("tax", "tax_amount", "number"),
+    ("total_amount", "total_amount", "number"), ("po_number", "po_number", "identifier"), ("reference", "reference", "identifier"),
+]
+
+
+def _same(e: str, a: str, kind: str, tol: str) -> str:
     if kind == "number":
-        same = f"coalesce(abs({_dec(e)} - {_dec(a)}) <= coalesce(TRY_CAST(field_tolerances['total_amount'] AS DECIMAL(28,10)), 0.01), false)"
-    elif kind == "date":
-        same = f"{_strip(e)} = {_strip(a)}"
-    else:
-        same = f"{_norm(e)} = {_norm(a)}"
+        return f"coalesce(abs({_dec(e)} - {_dec(a)}) <= {tol}, false)"
+    if kind == "date":
+        return f"{_strip(e)} = {_strip(a)}"
+    if kind == "identifier":
+        return f"{_FOLD.format(x=_strip(e))} = {_FOLD.format(x=_strip(a))}"
+    return f"{_FOLD.format(x=_norm(e))} = {_FOLD.format(x=_norm(a))}"
+
+
+def _outcome(e: str, a: str, same: str) -> str:
+    return f"CASE WHEN {e} IS NULL AND {a} IS NULL THEN 'correct' WHEN {e} IS NULL THEN 'unexpected' WHEN {a} IS NULL THEN 'missing' WHEN {same} THEN 'correct' ELSE 'incorrect' END"
+
+
+def _cell(f: str, ext: str, kind: str) -> str:
+    e, a = f"nullif(invoice['{f}'], '')", _null(f"r_{ext}")
+    tol = f"coalesce(TRY_CAST(field_tolerances['{f}'] AS DECIMAL(28,10)), 0.01)"
     return (
-        f"SELECT case_id, '{f}' AS field, CASE WHEN {e} IS NULL AND {a} IS NULL THEN 'correct' WHEN {e} IS NULL THEN 'unexpected' WHEN {a} IS NULL THEN 'missing' WHEN {same} THEN 'correct' ELSE 'incorrect' END AS outcome "
+        f"SELECT case_id, '{f}' AS field, {_outcome(e, a, _same(e, a, kind, tol))} AS outcome "
         f"FROM rows WHERE list_contains(map_keys(invoice), '{f}') AND NOT coalesce(list_contains(ignored_fields, '{f}'), false)"
     )
 
 
 _CELLS = (
-    _STATUS + f", rows AS (SELECT c.*, " + ", ".join(f"i.{f} AS r_{f}" for f in scoring.SCORED) + f", i.needs_review AS flag FROM cases c JOIN st ON c.case_id = st.case_id AND st.status = 'matched' JOIN invoices i ON {_base('i.source_file')} = c.file), cells AS ("
-    + " UNION ALL ".join(_cell(f, k) for f, k in scoring.SCORED.items()) + ")"
+    _STATUS + f", rows AS (SELECT c.*, " + ", ".join(f"i.{f} AS r_{f}" for f in HEADER_FIELDS) + f", i.needs_review AS flag, i.review_reason AS reason, i.extraction_method AS method FROM cases c JOIN st ON c.case_id = st.case_id AND st.status = 'matched' JOIN invoices i ON {_base('i.source_file')} = c.file), cells AS ("
+    + " UNION ALL ".join(_cell(*x) for x in _SCORED_SQL) + ")"
 )
 
 
@@ -553,10 +571,10 @@ def q_header_tallies(spark, d):
     return scoring.tallies(_cells(spark, d), ["field"])
 
 
-@query(_CELLS + f" SELECT field, accuracy, evaluated FROM {_FIELDS} ORDER BY accuracy, evaluated DESC, field LIMIT 3")
+@query(_CELLS + f" SELECT field, accuracy, evaluated FROM {_FIELDS} ORDER BY accuracy, evaluated DESC, field LIMIT 5")
 def q_weakest_fields(spark, d):
     """A top-k report: the limit is the feature."""
-    return scoring.tallies(_cells(spark, d), ["field"]).select("field", "accuracy", "evaluated").orderBy("accuracy", F.desc("evaluated"), "field").limit(3)
+    return scoring.tallies(_cells(spark, d), ["field"]).select("field", "accuracy", "evaluated").orderBy("accuracy", F.desc("evaluated"), "field").limit(5)
 
 
 @query(
@@ -580,29 +598,59 @@ def q_review_metrics(spark, d):
     return scoring.review_confusion(scoring.current_cases(read_table(spark, d, "annotations")), read_table(spark, d, "invoices"))
 
 
-@query(
-    f"WITH {_EXPECTED}, s AS (SELECT case_id, sum(amount) AS s FROM e0 GROUP BY 1) SELECT case_id, CASE WHEN s IS NULL OR t IS NULL THEN 'undeterminable' WHEN abs(s - t) <= 0.01 AND f THEN 'false_flag' WHEN abs(s - t) <= 0.01 THEN 'correct_no_flag' "
-    f"WHEN f THEN 'correctly_flagged' ELSE 'missed_problem' END AS totals_class FROM (SELECT case_id, s, {_dec('''invoice['total_amount']''')} AS t, coalesce(list_contains(accepted_review_categories, 'totals'), false) AS f FROM cases LEFT JOIN s USING (case_id))"
+# Review phrases by hand, in order; the SQL of the categories does not read the library's list.
+_PHRASES = (
+    "invoice_number conflict>invoice_number_conflict|possible multiple invoices>invoice_number_conflict|conflict in invoice_number>invoice_number_conflict|conflict in>header_conflict|missing required fields>missing_required_fields|"
+    "totals inconclusive>totals_inconclusive|partial extraction>partial_extraction|missing an amount>suspicious_line|hallucinated>suspicious_line|no line items>suspicious_line|run-wide>budget_exhausted|cost budget>budget_exhausted|"
+    "attempt cap>budget_exhausted|unreadable pdf>malformed_pdf|no meaningful pages>blank_document|document is blank>blank_document|openrouter_text_models>provider_failure|openrouter_vision_models>provider_failure|"
+    "openrouter_api_key>provider_failure|failed on all>provider_failure|http 4>provider_failure|http 5>provider_failure|rate_limited>provider_failure|truncated>provider_failure"
 )
-def q_totals_class(spark, d):
-    cases = scoring.current_cases(read_table(spark, d, "annotations"))
-    amounts = F.transform("line_items", lambda it: numbers.coerce_decimal(F.try_element_at(it, F.lit("amount"))))
-    stated = F.filter(amounts, lambda a: a.isNotNull())
-    total = F.when(F.size(stated) > 0, F.aggregate(stated, F.lit(0).cast("decimal(38,10)"), lambda x, y: (x + y).cast("decimal(38,10)")))
-    flagged = F.coalesce(F.array_contains("accepted_review_categories", "totals"), F.lit(False))
-    tax = F.lit(None).cast("decimal(28,10)")
-    return cases.select("case_id", scoring.totals_class(total, numbers.coerce_decimal(F.try_element_at("invoice", F.lit("total_amount"))), tax, flagged, F.lit("0.01").cast("decimal(28,10)")).alias("totals_class"))
+_CATEGORY = "CASE " + " ".join(f"WHEN contains(lower(c), '{p}') THEN '{n}'" for p, n in (x.split(">") for x in _PHRASES.split("|"))) + " END"
+# Reasons in the wording that the pipeline writes, one or two clauses by the row's key.
+_REASONS = [
+    "conflict in seller_name: 'A' (pages 1); kept 'A'", "possible multiple invoices: 2 numbers", "totals inconclusive: lines 5 total 7", "missing required fields: currency", "partial extraction: text chunk 1/2 failed; result covers pages 1 only",
+    "2 line items are missing an amount (possible hallucinated header rows)", "run-wide cost budget reached", "unreadable PDF: ValueError", "no meaningful pages (document is blank)", "text chunk failed on all configured models: HTTP 503",
+    "missing identifier: no number", "something nobody ever wrote before: and its value that goes on and on",
+]
+_REASON_SQL = "list_value(" + ", ".join("'" + r.replace("'", "''") + "'" for r in _REASONS) + ")"
+_REASONED = f"(SELECT route_id, {_REASON_SQL}[1 + route_id % 12] || CASE WHEN route_id % 3 = 0 THEN '; ' || {_REASON_SQL}[1 + route_id % 11] ELSE '' END AS reason FROM route_results)"
+
+
+def _reasoned(spark: SparkSession, d: str) -> DataFrame:
+    """Rows with review reasons in the pipeline's wording."""
+    listed = F.array(*[F.lit(r) for r in _REASONS])
+    at = lambda n: F.element_at(listed, (F.col("route_id") % n + 1).cast("int"))
+    reason = F.concat(at(12), F.when(F.col("route_id") % 3 == 0, F.concat(F.lit("; "), at(11))).otherwise(""))
+    return read_table(spark, d, "route_results").select("route_id", reason.alias("reason"))
 
 
-def _category_sql() -> str:
-    cases = " ".join(f"WHEN contains(lower(c), '{p}') THEN '{n}'" for p, n in scoring.REVIEW_PHRASES)
-    return f"CASE {cases} ELSE 'unknown:' || {_strip('''split_part(c, ':', 1)''')} END"
+_HEAD = _strip("split_part(c, ':', 1)")
+_METHOD = "CASE WHEN route_id % 17 = 0 THEN 'failed' ELSE route END"
+_CLAUSES = f"(SELECT route_id, pos, c, {_CATEGORY} AS category FROM (SELECT route_id, unnest(string_split(reason, '; ')) AS c, generate_subscripts(string_split(reason, '; '), 1) AS pos FROM {_REASONED}))"
 
 
-@query(f"SELECT invoice_id, category, count(*) AS n FROM (SELECT invoice_id, {_category_sql()} AS category FROM (SELECT invoice_id, unnest(string_split(review_reason, '; ')) AS c FROM invoices WHERE review_reason IS NOT NULL)) GROUP BY ALL")
+@query(f"SELECT route_id, string_agg(category, ',' ORDER BY p) AS categories FROM (SELECT route_id, category, min(pos) AS p FROM {_CLAUSES} WHERE category IS NOT NULL GROUP BY 1, 2) GROUP BY 1")
 def q_review_categories(spark, d):
-    rows = read_table(spark, d, "invoices").where("review_reason is not null")
-    return rows.select("invoice_id", F.explode(scoring.review_categories(F.col("review_reason"))).alias("category")).groupBy("invoice_id", "category").agg(F.count("*").alias("n"))
+    found = _reasoned(spark, d).select("route_id", F.array_join(scoring.review_categories(F.col("reason")), ",").alias("categories"))
+    return found.where("categories <> ''")
+
+
+@query(f"SELECT route_id, left({_HEAD}, 40) AS label, count(*) AS n FROM {_CLAUSES} WHERE category IS NULL GROUP BY ALL")
+def q_unknown_clauses(spark, d):
+    return _reasoned(spark, d).select("route_id", F.explode(scoring.unknown_clauses(F.col("reason"))).alias("label")).groupBy("route_id", "label").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"SELECT route_id, concat_ws(',', nullif(string_agg(category, ',' ORDER BY p) FILTER (WHERE category IS NOT NULL), ''), CASE WHEN bool_or(category IS NULL) THEN 'unknown' END) AS categories FROM "
+    f"(SELECT route_id, category, min(pos) AS p FROM {_CLAUSES} GROUP BY 1, 2) GROUP BY 1"
+)
+def q_safe_categories(spark, d):
+    return _reasoned(spark, d).select("route_id", F.array_join(scoring.safe_categories(F.col("reason")), ",").alias("categories"))
+
+
+@query(f"SELECT route_id, string_agg(h, ', ' ORDER BY p) AS heads FROM (SELECT route_id, {_HEAD} AS h, min(pos) AS p FROM {_CLAUSES} GROUP BY 1, 2) GROUP BY 1")
+def q_reason_heads(spark, d):
+    return _reasoned(spark, d).select("route_id", scoring.reason_heads(F.col("reason")).alias("heads"))
 
 
 _PCT = "SELECT document_classification AS document_type, count(*) AS n, round_even(avg(v), 3) AS average, round_even(median(v), 3) AS median, CASE WHEN count(v) >= 20 THEN round_even(quantile_cont(v, 0.95), 3) END AS p95 FROM (SELECT document_classification, CAST(page_count AS DOUBLE) AS v FROM invoices) GROUP BY 1"
@@ -626,10 +674,14 @@ def q_thresholds(spark, d):
     return scoring.evaluate_thresholds(metrics, spark.createDataFrame(rows, "key string, target double"))
 
 
-@query("SELECT CASE WHEN extraction_method IS NULL THEN 'failed' WHEN needs_review THEN 'needs_review' ELSE 'extracted' END AS outcome, count(*) AS n FROM invoices GROUP BY 1")
+_OUTCOME = "CASE WHEN regexp_matches(lower(coalesce({r}, '')), 'unreadable pdf|no meaningful pages|failed on all') OR coalesce({m} = 'failed', false) THEN 'failed' WHEN coalesce({f}, false) THEN 'needs_review' ELSE 'extracted' END"
+
+
+@query(f"SELECT route_id, {_OUTCOME.format(r='reason', m=_METHOD, f='route_id % 2 = 0')} AS outcome FROM {_REASONED} JOIN (SELECT route_id, route FROM route_results) USING (route_id)")
 def q_actual_outcome(spark, d):
-    outcome = F.when(F.col("extraction_method").isNull(), "failed").when(F.col("needs_review"), "needs_review").otherwise("extracted")
-    return read_table(spark, d, "invoices").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+    rows = _reasoned(spark, d).join(read_table(spark, d, "route_results").select("route_id", "route"), "route_id")
+    method = F.when(F.col("route_id") % 17 == 0, "failed").otherwise(F.col("route"))
+    return rows.select("route_id", scoring.actual_outcome(F.col("reason"), method, F.col("route_id") % 2 == 0).alias("outcome"))
 
 
 # ---- Ground-truth violations ----------------------------------------------------------------
@@ -639,7 +691,7 @@ def q_actual_outcome(spark, d):
     f"WITH {_CASES}, kv AS (SELECT case_id, unnest(map_keys(invoice)) AS k, unnest(map_values(invoice)) AS v FROM cases) "
     "SELECT case_id, k AS field, 'not_a_date' AS violation FROM kv WHERE k = 'invoice_date' AND v IS NOT NULL AND v <> '' AND (NOT regexp_full_match(v, '\\d{4}-\\d{2}-\\d{2}') OR TRY_CAST(v AS DATE) IS NULL) "
     "UNION ALL SELECT case_id, k, 'not_a_decimal' FROM kv WHERE k = 'total_amount' AND v IS NOT NULL AND v <> '' AND NOT regexp_full_match(v, '\\s*[+-]?\\d+(\\.\\d+)?\\s*') "
-    "UNION ALL SELECT case_id, k, 'unknown_field' FROM kv WHERE k NOT IN ('invoice_number', 'invoice_date', 'currency', 'seller_name', 'total_amount') "
+    "UNION ALL SELECT case_id, k, 'unknown_field' FROM kv WHERE k NOT IN ('invoice_number', 'invoice_date', 'seller_name', 'seller_address', 'buyer_name', 'buyer_address', 'currency', 'subtotal', 'tax', 'total_amount', 'po_number', 'reference', 'ship_to', 'bill_to', 'incoterms', 'country_of_origin') "
     "UNION ALL SELECT case_id, k, 'bad_tolerance' FROM (SELECT case_id, unnest(map_keys(field_tolerances)) AS k, unnest(map_values(field_tolerances)) AS v FROM cases) WHERE coalesce(TRY_CAST(v AS DECIMAL(28,10)) < 0, true)"
 )
 def q_ground_truth_violations(spark, d):
@@ -647,7 +699,7 @@ def q_ground_truth_violations(spark, d):
     kv = cases.select("case_id", F.explode("invoice").alias("field", "v"))
     filled = F.col("v").isNotNull() & (F.col("v") != "")
     violation = (
-        F.when(~F.col("field").isin(*scoring.SCORED), "unknown_field")
+        F.when(~F.col("field").isin(*scoring.SCORED, *scoring.NOT_EXTRACTABLE_HEADER), "unknown_field")
         .when((F.col("field") == "invoice_date") & filled & (~F.col("v").rlike(r"^\d{4}-\d{2}-\d{2}\z") | F.col("v").try_cast("date").isNull()), "not_a_date")
         .when((F.col("field") == "total_amount") & filled & ~F.col("v").rlike(r"^\s*[+-]?\d+(\.\d+)?\s*\z"), "not_a_decimal")
     )
