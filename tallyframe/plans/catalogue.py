@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tallyframe.plans import problems, reference, scores
+from tallyframe.plans import problems, reference, runs, scores
 
 
 def queries():
-    return {**reference.Q, **scores.Q, **problems.QUERIES}
+    return {**reference.Q, **scores.Q, **runs.Q, **problems.QUERIES}
 
 
 def oracle_sql():
-    return {**reference.SQL, **scores.SQL, **problems.oracle_sql()}
+    return {**reference.SQL, **scores.SQL, **runs.SQL, **problems.oracle_sql()}

@@ -26,12 +26,14 @@ def get_session(cpus: int = 8, app: str = "tallyframe") -> SparkSession:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back, so it is computed once.
 
-    The folder is the cluster's ``spark.checkpoint.dir``. Only where that is unset (tests on
-    one machine) is a temporary folder chosen.
+    The folder is the cluster's ``spark.checkpoint.dir``. Only a local session (tests on one
+    machine) may do without the setting: there a temporary folder is chosen.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tallyframe-checkpoint-"))
     return df.checkpoint(eager=True)
 

@@ -6,6 +6,7 @@ library is needed on the driver; a file they cannot read becomes a row with ``er
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.text import basename
+from tallyframe.operators.scoring import DOCUMENT_TYPES, EXPECTED_OUTCOMES
 from tallyframe.schemas import EVENT, PAGE, USAGE
 
 Parser = Callable[[bytes], list[tuple[str, str]]]  # content -> (kind, text) of each page
@@ -63,19 +65,61 @@ def render_pages(documents: DataFrame, wanted: DataFrame, renderer: Callable[[by
 
 
 def check_uploads(documents: DataFrame, max_files: int = 25, max_bytes: int = 25 << 20, max_total: int = 200 << 20) -> DataFrame:
-    """(path, violation) of uploads that break a rule; the running total is over the files in path order."""
+    """(path, violation) of uploads that break a rule: the first rule broken by each.
+
+    The number and the total of the uploads are two figures of one aggregate, taken first.
+    """
     names = documents.select("path", "length", F.substring("content", 1, 5).alias("head"), F.lower(basename(F.col("path"))).alias("name"))
-    stats = names.agg(F.count("*").alias("n"), F.sum("length").alias("total"))
     repeated = names.groupBy("name").agg(F.count("*").alias("copies"))
-    one = F.lit(1).alias("_one")
-    rows = names.join(repeated, "name").select("*", one).join(stats.select("*", one), "_one")
+    n, total = names.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    rows = names.join(repeated, "name")
     violation = (
-        F.when(F.col("n") > max_files, "too_many_files").when(~F.col("name").endswith(".pdf"), "extension").when(F.col("head") != F.lit(b"%PDF-"), "signature")
-        .when(F.col("length") == 0, "empty").when(F.col("length") > max_bytes, "too_large").when(F.col("total") > max_total, "total_too_large").when(F.col("copies") > 1, "duplicate_name")
+        F.when(F.lit(n > max_files), "too_many_files").when(~F.col("name").endswith(".pdf"), "extension").when(F.col("head") != F.lit(b"%PDF-"), "signature")
+        .when(F.col("length") == 0, "empty").when(F.col("length") > max_bytes, "too_large").when(F.lit(total > max_total), "total_too_large").when(F.col("copies") > 1, "duplicate_name")
     )
     return rows.select("path", violation.alias("violation")).where("violation is not null")
 
 
+def read_document(spark: SparkSession, path: str) -> dict:
+    """A JSON object; errors name the file and the kind of fault, never a value."""
+    rows = spark.read.text(path, wholetext=True).take(1)
+    if not rows:
+        raise ValueError(f"file {path!r}: empty")
+    try:
+        found = json.loads(rows[0]["value"])
+    except json.JSONDecodeError as error:
+        raise ValueError(f"file {path!r}: malformed JSON ({error.msg} at line {error.lineno})") from None
+    if not isinstance(found, dict):
+        raise ValueError(f"file {path!r}: the top level must be a JSON object")
+    return found
+
+
+def read_thresholds(spark: SparkSession, path: str) -> DataFrame:
+    """(key, target) of a thresholds document; keys of two underscores are notes and stay out."""
+    found = {k: v for k, v in read_document(spark, path).items() if not k.startswith("__")}
+    return spark.createDataFrame([(k, float(v)) for k, v in sorted(found.items())], "key string, target double")
+
+
+def read_status(spark: SparkSession, folder: str) -> dict | None:
+    """A job's status document; None where there is none or it cannot be read."""
+    try:
+        return read_document(spark, f"{folder}/status.json")
+    except Exception:  # noqa: BLE001 - an absent, torn or foreign file is no status
+        return None
+
+
+def newest_finished(jobs: DataFrame) -> DataFrame:
+    """The finished job with the greatest id, one row or none; ``jobs`` has job_id and state."""
+    done = jobs.where(F.col("state").isin("completed", "cancelled", "failed"))
+    return done.agg(F.max_by(F.struct(*done.columns), "job_id").alias("j")).where("j is not null").select("j.*")
+
+
+def job_plans(pages: DataFrame) -> DataFrame:
+    """(source_file, text_pages, image_pages) of uploaded files, as the plan of their requests."""
+    kind = F.col("kind")
+    return pages.groupBy("source_file").agg(F.count_if(kind == "text").alias("text_pages"), F.count_if(kind == "image").alias("image_pages"))
+
+
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     """A sheet kept as CSV: the first row names the columns, empty rows are skipped, all values are text."""
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).dropna(how="all")
@@ -116,12 +160,23 @@ def manifest_violations(cases: DataFrame) -> DataFrame:
     repeated = cases.groupBy("case_id").agg(F.count("*").alias("n"))
     rows = cases.join(repeated, "case_id", "left")
     checks = F.array_compact(F.array(
-        F.when(F.coalesce(F.col("case_id"), F.lit("")) == "", "no_case_id"), F.when(F.coalesce(F.col("source_file"), F.lit("")) == "", "no_source_file"),
-        F.when(F.col("n") > 1, "repeated_case_id"), F.when(~F.coalesce(F.col("expected_outcome").isin("extracted", "needs_review", "failed"), F.lit(False)), "unknown_outcome"),
+        F.when(F.trim(F.coalesce(F.col("case_id"), F.lit(""))) == "", "no_case_id"), F.when(F.trim(F.coalesce(F.col("source_file"), F.lit(""))) == "", "no_source_file"),
+        F.when(F.col("n") > 1, "repeated_case_id"), F.when(~F.coalesce(F.col("expected_outcome").isin(EXPECTED_OUTCOMES), F.lit(False)), "unknown_outcome"),
+        F.when(~F.coalesce(F.col("document_type").isin(DOCUMENT_TYPES), F.lit(False)), "unknown_document_type"), F.when(F.trim(F.coalesce("ground_truth", F.lit(""))) == "", "no_ground_truth"),
     ))
     return rows.select("case_id", F.explode(checks).alias("violation")).distinct()
 
 
+def with_ground_truth(cases: DataFrame, truths: DataFrame) -> DataFrame:
+    """Manifest cases with their ground truth joined by file name, and ``found``, false where the file is absent.
+
+    ``truths`` has path and the fields of the ground-truth documents; folders are ignored.
+    """
+    named = truths.withColumn("_file", basename(F.col("path"))).withColumn("_there", F.lit(True)).drop("path", "case_id", "source_file", "notes")
+    joined = cases.withColumn("_file", basename(F.col("ground_truth"))).join(named, "_file", "left")
+    return joined.withColumn("found", F.coalesce("_there", F.lit(False))).drop("_file", "_there")
+
+
 def read_events(spark: SparkSession, folder: str) -> DataFrame:
     """Events of a log of JSON lines: the first of each (job, seq), in order; lines that are no event are left out."""
     lines = spark.read.text(folder).select(F.from_json("value", EVENT.simpleString(), {"mode": "PERMISSIVE"}).alias("e"), F.monotonically_increasing_id().alias("pos"))

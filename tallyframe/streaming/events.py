@@ -42,17 +42,32 @@ def _fold(state: tuple, rows: pd.DataFrame) -> tuple:
     return last, done, name, event, n
 
 
-def progress(events: DataFrame) -> DataFrame:
-    """Streaming fold of each job's events: files done, the current file, the last event."""
+def progress(events: DataFrame, idle: str = "1 day") -> DataFrame:
+    """Streaming fold of each job's events: files done, the current file, the last event.
+
+    All of a job's events of one trigger are put in order before they are folded. A job whose
+    newest event lies ``idle`` behind the watermark is forgotten; events need the watermark that
+    ``deduplicated`` sets. Without one (``at`` missing) states are kept.
+    """
+    kept = int(pd.Timedelta(idle).total_seconds() * 1000)
+    stamped = "at" in events.columns
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         value = state.get if state.exists else (-1, 0, None, None, 0)
-        for batch in batches:
-            value = _fold(value, batch)
+        rows = pd.concat(list(batches), ignore_index=True)
+        value = _fold(value, rows)
         state.update(value)
+        if stamped:
+            newest = rows["at"].max()
+            at = state.getCurrentWatermarkMs() if pd.isna(newest) else max(int(newest.timestamp() * 1000), state.getCurrentWatermarkMs())
+            state.setTimeoutTimestamp(at + kept)
         yield pd.DataFrame([(key[0], *value)], columns=["job_id", "last_seq", "files_done", "current_file", "last_event", "n_events"])
 
-    return events.groupBy("job_id").applyInPandasWithState(update, PROGRESS, _STATE, "update", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if stamped else GroupStateTimeout.NoTimeout
+    return events.groupBy("job_id").applyInPandasWithState(update, PROGRESS, _STATE, "update", timeout)
 
 
 def batch_progress(events: DataFrame) -> DataFrame:
@@ -68,6 +83,20 @@ def batch_progress(events: DataFrame) -> DataFrame:
     return g.select("job_id", "last_seq", "files_done", current.alias("current_file"), "last_event", "n_events")
 
 
+def event_lines(events: DataFrame, limit: int = 12) -> DataFrame:
+    """(job_id, seq, line): the last ``limit`` events of each job as readable lines; the limit is the feature."""
+    e = F.col("event")
+    line = (
+        F.when(e == "file_started", F.concat(F.lit("File "), F.col("file_index").cast("string"), F.lit(": "), F.coalesce("file_name", F.lit(""))))
+        .when(e == "chunk_started", F.concat(F.coalesce("file_name", F.lit("")), F.lit(": chunk "), F.coalesce(F.col("chunk_index").cast("string"), F.lit("?"))))
+        .when(e == "file_finished", F.concat(F.coalesce("file_name", F.lit("")), F.lit(": "), F.coalesce("status", F.lit("completed"))))
+        .when(e == "job_cancelled", F.lit("Cancelled by operator"))
+    )
+    shown = events.select("job_id", "seq", line.alias("line")).where("line is not null")
+    last = shown.groupBy("job_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("seq", "line")), asc=False), 1, limit).alias("l"))
+    return last.select("job_id", F.inline("l"))
+
+
 def guarded(consume: Callable[[DataFrame, int], None], report: Callable[[Exception], None]) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` body whose failure is reported and does not stop the stream."""
 

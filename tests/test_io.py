@@ -4,7 +4,9 @@ import json
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
+from tallyframe.operators import attempts
 from tallyframe.schemas import EVENT, INVOICE, USAGE
 from tallyframe.sinks import tables
 from tallyframe.sources import files, model
@@ -62,15 +64,15 @@ def test_export(spark):
     assert [empty[k].count() for k in empty] == [0, 0, 0]
 
 
-def test_staged_set_is_all_or_nothing(tmp_path):
+def test_staged_set_is_all_or_nothing(spark, tmp_path):
     (tmp_path / "x").write_text("old")
     with pytest.raises(RuntimeError):
-        with tables.staged(str(tmp_path)) as s:
-            open(f"{s}/x", "w").write("new")
+        with tables.staged(spark, str(tmp_path)) as s:
+            open(f"{s.removeprefix('file:')}/x", "w").write("new")
             raise RuntimeError
     assert (tmp_path / "x").read_text() == "old" and [p.name for p in tmp_path.iterdir()] == ["x"]
-    with tables.staged(str(tmp_path)) as s:
-        open(f"{s}/x", "w").write("new")
+    with tables.staged(spark, str(tmp_path)) as s:
+        open(f"{s.removeprefix('file:')}/x", "w").write("new")
     assert (tmp_path / "x").read_text() == "new"
 
 
@@ -79,7 +81,7 @@ def test_metadata_and_manifest(spark, tmp_path):
     assert [(r.file, r.elapsed_seconds) for r in files.read_run_metadata(spark, str(tmp_path / "run.json")).collect()] == [("a.pdf", 2.0)]
     (tmp_path / "m.json").write_text(json.dumps({"cases": [{"case_id": "b", "source_file": "x.pdf", "expected_outcome": "extracted"}, {"case_id": "b", "expected_outcome": "odd"}]}))
     bad = {(r.case_id, r.violation) for r in files.manifest_violations(files.read_manifest(spark, str(tmp_path / "m.json"))).collect()}
-    assert bad == {("b", "repeated_case_id"), ("b", "no_source_file"), ("b", "unknown_outcome")}
+    assert bad == {("b", "repeated_case_id"), ("b", "no_source_file"), ("b", "unknown_outcome"), ("b", "unknown_document_type"), ("b", "no_ground_truth")}
 
 
 def test_retry_and_ladder(spark):
@@ -94,13 +96,69 @@ def test_retry_and_ladder(spark):
     waits = []
     assert model.with_retry(flaky, sleep=waits.append) == {"answer": "{}"} and waits == [1.0, 2.0]
     with pytest.raises(model.CallError):
-        model.with_retry(lambda: (_ for _ in ()).throw(model.CallError("auth")), sleep=waits.append)
+        model.with_retry(lambda: (_ for _ in ()).throw(model.CallError("client_error")), sleep=waits.append)
+    assert waits == [1.0, 2.0]
 
-    def caller(name, prompt):
-        return {"answer": "no json" if name == "a" else '{"x": 1}', "finish_reason": "stop", "cost": 0.1}
 
-    got = model.ask_models(spark.createDataFrame([(1, "p")], "request_id bigint, prompt string"), caller, ["a", "b", "c"]).orderBy("attempt").collect()
-    assert [(r.model, r.error_category) for r in got] == [("a", "malformed"), ("b", None)]
+def envelope(text, finish="stop"):
+    return {"id": "g", "model": "served", "choices": [{"finish_reason": finish, "message": {"content": text}}], "usage": {"total_tokens": 3, "cost": 0.1}}
+
+
+def test_ladder_with_repair(spark, tmp_path):
+    def caller(name, prompt):
+        if name == "a":
+            return envelope("cut", "length")
+        if name == "b":
+            raise model.CallError("client_error", 418)
+        return envelope('{"x": 1}' if "not valid JSON" in prompt else "sorry, no braces")
+
+    requests = spark.createDataFrame([(1, "p")], "request_id bigint, prompt string")
+    got = model.ask_models(requests, caller, ["a", "b", "c", "d"]).collect()
+    assert [(r.requested_model, r.attempt_type, r.rejection, r.http_status) for r in got] == [
+        ("a", "primary", "truncated", None), ("b", "escalation", "client_error", 418), ("c", "escalation", "malformed_json", None), ("c", "repair", None, None)]
+    path = str(tmp_path / "attempts")
+    assert model.asked_once(requests, path, caller, ["c"]).count() == 2
+
+    def never(name, prompt):
+        raise AssertionError("answered requests are not sent again")
+
+    again = model.asked_once(requests, path, never, ["c"])
+    assert again.count() == 2 and model.served(again).collect()[0].attempt_type == "repair"
+    read = attempts.read_completions(again.where("raw is not null")).collect()
+    assert {r.answer.actual_model for r in read} == {"served"} and float(read[0].answer.cost_usd) == 0.1
+
+
+def test_envelopes_never_fail(spark):
+    rows = [None, "", "[]", "1", '{"choices": [1]}', '{"choices": [{"message": {"content": 5}}]}', '{"error": {"code": 404}}', '{"error": "x"}', '{"choices": [{"message": null}]}', json.dumps(envelope("ok"))]
+    got = attempts.read_completions(spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, raw string")).orderBy("i").collect()
+    bad = "malformed_envelope"
+    assert [r.rejection for r in got] == [bad, bad, bad, bad, bad, bad, "model_unavailable", bad, "empty", None]
+
+
+def test_documents_and_status(spark, tmp_path):
+    (tmp_path / "t.json").write_text('{"b": 0.5, "a": 1, "__doc__": "x"}')
+    assert [tuple(r) for r in files.read_thresholds(spark, str(tmp_path / "t.json")).collect()] == [("a", 1.0), ("b", 0.5)]
+    (tmp_path / "l.json").write_text("[1]")
+    with pytest.raises(ValueError, match="must be a JSON object"):
+        files.read_document(spark, str(tmp_path / "l.json"))
+    assert files.read_status(spark, str(tmp_path)) is None
+    for state in ("running", "completed"):
+        tables.write_status(spark, str(tmp_path), "j1", state, artifacts=["b", "a"])
+    status = files.read_status(spark, str(tmp_path))
+    assert status["state"] == "completed" and status["artifacts"] == ["a", "b"]
+    jobs = spark.createDataFrame([("j1", "completed"), ("j3", "running"), ("j2", "failed")], "job_id string, state string")
+    assert files.newest_finished(jobs).collect()[0].job_id == "j2" and files.newest_finished(jobs.limit(0)).count() == 0
+
+
+def test_report_and_events_are_written(spark, tmp_path):
+    summary = spark.createDataFrame([("num_cases", "2")], "metric string, value string")
+    tables.write_report({"Summary": summary, "Errors": summary.limit(0)}, str(tmp_path / "report"))
+    assert json.loads((tmp_path / "report" / "summary.json").read_text()) == {"num_cases": "2"} and spark.read.parquet(str(tmp_path / "report" / "Errors")).count() == 0
+    made = spark.createDataFrame([("j", 1, "2025-01-01T00:00:00Z", "file_started", 1, "a.pdf", None, None, None)], EVENT)
+    tables.append_events(made, str(tmp_path / "log"))
+    tables.append_events(made.withColumn("seq", F.col("seq") + 1), str(tmp_path / "log"))
+    read = files.read_events(spark, str(tmp_path / "log"))
+    assert [r.line for r in stream.event_lines(read).orderBy("seq").collect()] == ["File 1: a.pdf", "File 1: a.pdf"]
 
 
 EVENTS = [("j", 0, "job_started", None, None), ("j", 1, "file_started", 1, "a.pdf"), ("j", 1, "file_started", 1, "copy.pdf"), ("j", 2, "file_finished", 1, "a.pdf"), ("j", 3, "file_started", 2, "b.pdf"), ("k", 0, "job_started", None, None)]

@@ -1,10 +1,13 @@
 """Operators against sequential statements of their rules, on small or random inputs."""
 
 import random
+import unicodedata
+from difflib import SequenceMatcher
 from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from tallyframe.functions import text
 from tallyframe.operators import invoices as inv
 from tallyframe.operators import linkage, merge, numbering, pages, scoring, usage
 
@@ -107,11 +110,35 @@ def test_line_tiers(spark):
     assert got == sorted([(0, 1, "line_no"), (1, 0, "item_code"), (2, 2, "composite"), (3, None, "missing"), (None, 3, "extra")], key=str)
 
 
-def test_fuzzy_is_greedy_and_reports_near_ties():
-    assert linkage.fuzzy_rank([(0, "widget", 1, 5.0)], [(3, "widgets", 1, 5.0), (4, "other", 1, 5.0)]) == [(0, 3, "fuzzy", 0.923077)]
-    tied = linkage.fuzzy_rank([(0, "widget", None, None)], [(1, "widgel", None, None), (2, "widgez", None, None)], threshold=0.8)
-    assert tied[0][1:3] == (None, "ambiguous")
-    assert linkage.fuzzy_rank([(0, "widget", 1, 5.0)], [(1, "widget", 1, 6.0)]) == []
+def test_choice_is_ordered_and_reports_near_ties():
+    assert linkage.settle([(0, 3, 0.92), (0, 4, 0.95), (1, 4, 0.99), (2, 3, 0.91)]) == {0: (4, 0.95), 2: (3, 0.91)}
+    assert linkage.settle([(0, 1, 0.91), (0, 2, 0.92), (1, 1, 0.95)]) == {0: (None, 0.92), 1: (1, 0.95)}
+
+
+def test_near_descriptions_lose_nothing(spark):
+    """The prefix filter finds the pairs that comparing every line with every line finds."""
+    rng = random.Random(3)
+    d, words = Decimal, ["steel bolt", "steel bolts", "stee1 bolt m8", "copper wire", "copper  Wire 2", "ＷＩＲＥ copper", "straße", "strasse", "aaaa", "aaab", "", None]
+    make = lambda n: [("c%d" % rng.randint(0, 2), i, None, None, rng.choice(words), d(rng.randint(1, 2)), None, rng.choice([None, d(5), d("5.01"), d(7)])) for i in range(n)]
+    e, a = make(40), make(40)
+    fold = lambda t: " ".join(unicodedata.normalize("NFKC", t or "").casefold().split())
+    want = set()
+    for x in e:
+        for y in a:
+            s, t = fold(x[4]), fold(y[4])
+            if x[0] == y[0] and s and t and x[5] == y[5] and (x[7] is None or y[7] is None or abs(x[7] - y[7]) <= d("0.01")) and round(SequenceMatcher(None, s, t).ratio(), 6) >= 0.8:
+                want.add((x[0], x[1], y[1]))
+    got = {(r.case_id, r.expected_idx, r.actual_idx) for r in linkage.near_descriptions(spark.createDataFrame(e, LINE), spark.createDataFrame(a, LINE), threshold=0.8).collect()}
+    assert got == want and len(want) > 20
+
+
+def test_ambiguous_lines_are_missing_too(spark):
+    d = Decimal
+    e = spark.createDataFrame([("c", 0, None, None, "widget one", d(1), None, d(5))], LINE)
+    a = spark.createDataFrame([("c", 0, None, None, "widget onx", d(1), None, d(5)), ("c", 1, None, None, "widget ony", d(1), None, d(5))], LINE)
+    got = sorted(r.method for r in linkage.match_lines_fuzzy(e, a).collect())
+    assert got == ["ambiguous", "extra", "extra", "missing"]
+    assert linkage.match_lines_fuzzy(e.limit(0), a.limit(0)).count() == 0
 
 
 def test_cell_outcomes(spark):
@@ -148,5 +175,27 @@ def test_chunks_reject_nonsense_and_handle_empty(spark):
 
 
 def test_review_categories(spark):
-    df = spark.createDataFrame([("totals inconclusive; odd thing: 5; conflict in x",)], "r string")
-    assert df.select(scoring.review_categories(F.col("r")).alias("c")).collect()[0].c == ["totals_inconclusive", "unknown:odd thing", "conflict"]
+    reason = "totals inconclusive; odd thing: 5; conflict in seller_name: a; possible multiple invoices; conflict in invoice_number"
+    df = spark.createDataFrame([(reason,), (None,), ("",)], "r string")
+    got = df.select(scoring.review_categories(F.col("r")).alias("c"), scoring.unknown_clauses(F.col("r")).alias("u"), scoring.safe_categories(F.col("r")).alias("s")).collect()
+    assert got[0].c == ["totals_inconclusive", "header_conflict", "invoice_number_conflict"] and got[0].u == ["odd thing"] and got[0].s[-1] == "unknown"
+    assert got[1].s == [] and got[2].s == []
+
+
+def test_identifiers_keep_inner_blanks(spark):
+    for e, a, want in (("INV 01", "INV  01", "incorrect"), (" inv-01", "INV-01 ", "correct"), ("ＩＮＶ１", "inv1", "correct"), ("STRASSE", "straße", "correct")):
+        df = spark.createDataFrame([(e, a)], "e string, a string")
+        assert df.select(scoring.cell_outcome("identifier", F.col("e"), F.col("a")).alias("o")).collect()[0].o == want
+
+
+def test_totals_class(spark):
+    d = Decimal
+    rows = [(None, d(1), None, True, "undeterminable"), (d(100), d(119), d(19), True, "false_flag"), (d(100), d(100), None, False, "correct_no_flag"), (d(1), d(2), None, True, "correctly_flagged"), (d(1), d(2), d(5), False, "missed_problem")]
+    df = spark.createDataFrame(rows, "s decimal(28,10), t decimal(28,10), x decimal(28,10), f boolean, want string")
+    out = df.withColumn("got", scoring.totals_class(F.col("s"), F.col("t"), F.col("x"), F.col("f"), F.lit(Decimal("0.01")))).collect()
+    assert all(r.got == r.want for r in out)
+
+
+def test_secrets_are_redacted(spark):
+    df = spark.createDataFrame([("key abc and abcdef",), (None,)], "t string")
+    assert [r.r for r in df.select(text.redact(F.col("t"), ["abc", "", "abcdef"]).alias("r")).collect()] == ["key [redacted] and [redacted]", None]
