@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyframe.session import cut_lineage
+
 # Month names of English, German, French and Spanish by their first letters.
 MONTHS = {
     "jan": 1, "janv": 1, "janvier": 1, "january": 1, "januar": 1, "jän": 1, "jänner": 1, "ene": 1, "enero": 1,
@@ -186,25 +188,70 @@ def parsed_parts(df: DataFrame, text: str, zone: str) -> DataFrame:
     )
 
 
-def estimate_offsets(parts: DataFrame, source: str, arrival: str, step_minutes: int = 30, max_lag_days: int = 45) -> DataFrame:
+def offset_history(scores: list[tuple], change: float = 2.0) -> dict:
+    """The offset of each month: the history with fewest violations, a change counting as ``change`` of them.
+
+    ``scores`` has (month, offset, violations, deviation). Among equal histories the one whose
+    delays deviate least from the usual, then the one nearest to UTC, is chosen.
+    """
+    months = sorted({m for m, *_ in scores})
+    table = {(m, c): (bad, off, abs(c)) for m, c, bad, off in scores}
+    offsets = sorted({c for _, c, *_ in scores})
+    best: dict[int, tuple] = {}
+    back: list[dict[int, int]] = []
+    for month in months:
+        stay = best
+        # Only the best offset so far is worth changing from.
+        change_from = min(stay, key=lambda c: (stay[c], c)) if stay else None
+        best, came = {}, {}
+        for c in offsets:
+            bad, off, far = table[month, c]
+            ways = [(stay[c], c)] if stay else [((0.0, 0.0, 0), c)]
+            if change_from is not None and change_from != c:
+                cost = stay[change_from]
+                ways.append(((cost[0] + change, *cost[1:]), change_from))
+            cost, origin = min(ways)
+            best[c], came[c] = (cost[0] + bad, cost[1] + off, cost[2] + far), origin
+        back.append(came)
+    out, at = {}, min(best, key=lambda c: (best[c], c))
+    for month, came in zip(reversed(months), reversed(back)):
+        out[month] = at
+        at = came[at]
+    return out
+
+
+def estimate_offsets(parts: DataFrame, source: str, arrival: str, zone: str | None = None, step_minutes: int = 15, max_lag_days: int = 45, change: float = 2.0) -> DataFrame:
     """(source, month, offset) for local moments of unknown zone, by their times of arrival.
 
     For each source and month, every offset from -12 to +14 hours is scored: a record that
     would have been written after it arrived, or more than ``max_lag_days`` before, violates
-    it. The offset with the fewest violations wins; among equals the one with the least total
-    delay. The 53 candidates make a fixed factor, scores combine map-side, and
-    consecutive months that choose differently are the offset history.
+    it. Scores combine map-side, so a source with very many records is a few rows a month.
+    The months of a source are then one history: a dynamic programme chooses the offsets with
+    fewest violations and changes. Delays are compared with the source's usual delay, the mean
+    over its records that do state a zone; without such records with no delay at all.
     """
-    lag = F.col(arrival).cast("timestamp").cast("double") - (F.col("_local").cast("double") - F.col("_cand") * 60)
+    seconds = F.col(arrival).cast("timestamp").cast("double")
+    local = F.col("_local").cast("double")
+    home = F.lit(None).cast("string") if zone is None else F.nullif(F.col(zone), F.lit(""))
+    stated = F.when(~F.col("_unzoned") & F.col("_offset").isNotNull(), local - F.col("_offset") * 60).when(home.isNotNull() & F.col("_unzoned"), F.to_utc_timestamp("_local", home).cast("double"))
+    usual = parts.where(F.col(arrival).isNotNull() & stated.isNotNull()).groupBy(F.col(source).alias("_s")).agg(F.avg(seconds - stated).alias("_usual"))
+    rows = parts.where(F.col("_local").isNotNull() & F.col(arrival).isNotNull() & F.col("_unzoned") & home.isNull())
+    lag = F.col("_lag0") + F.col("_cand") * 60
     scored = (
-        parts.where(F.col("_local").isNotNull() & F.col(arrival).isNotNull())
-        .select(source, F.trunc(F.col("_local").cast("date"), "month").alias("_month"), arrival, "_local",
-                F.explode(F.sequence(F.lit(-720), F.lit(840), F.lit(step_minutes))).alias("_cand"))
-        .groupBy(source, "_month", "_cand")
-        .agg(F.sum(F.when((lag < 0) | (lag > max_lag_days * 86400), 1).otherwise(0)).alias("_bad"), F.sum(F.abs(lag)).alias("_total"))
+        rows.select(F.col(source).alias("_s"), F.trunc(F.col("_local").cast("date"), "month").alias("_month"), (seconds - local).alias("_lag0"))
+        .withColumn("_cand", F.explode(F.sequence(F.lit(-720), F.lit(840), F.lit(step_minutes))))
+        .groupBy("_s", "_month", "_cand").agg(F.sum(F.when((lag < 0) | (lag > max_lag_days * 86400), 1.0).otherwise(0.0)).alias("_bad"), F.count("*").alias("_n"), F.sum(lag).alias("_sum"))
     )
-    best = scored.groupBy(source, "_month").agg(F.min(F.struct("_bad", "_total", "_cand")).alias("_best"))
-    return best.select(source, "_month", F.col("_best")["_cand"].alias("_estimated"))
+    away = F.bround(F.abs(F.col("_sum") - F.col("_n") * F.coalesce("_usual", F.lit(0.0))), 3)
+    judged = scored.join(usual, scored["_s"].eqNullSafe(usual["_s"]), "left").select(scored["_s"], "_month", "_cand", "_bad", away.alias("_away"))
+    kind = parts.schema[source].dataType.simpleString()
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = offset_history(list(zip(pdf["_month"], pdf["_cand"], pdf["_bad"], pdf["_away"])), change)
+        return pd.DataFrame([(pdf["_s"].iloc[0], m, c) for m, c in found.items()], columns=["_s", "_month", "_estimated"])
+
+    # A group is one source's months and candidates, whatever the number of its records.
+    return judged.groupBy("_s").applyInPandas(choose, f"_s {kind}, _month date, _estimated int").withColumnRenamed("_s", source)
 
 
 def _utc_text(instant: Column) -> Column:
@@ -222,14 +269,16 @@ def normalize_timestamps(df: DataFrame, text: str, zone: str, arrival: str | Non
     """``df`` with ``normal_form``: a day as ``YYYY-MM-DD``, a moment in UTC as ``YYYY-MM-DDTHH:MM:SS.ffffffZ``.
 
     ``zone`` names the column with the zone of texts that give none. Rows where it is null
-    use the estimate from ``arrival`` by ``source`` if both are given, else they stay null.
+    use the estimated offset history of their ``source`` from its times of ``arrival`` if both are
+    given, else they stay null.
     """
     parts = parsed_parts(df, text, zone)
     local, home = F.col("_local"), F.when(F.nullif(F.col(zone), F.lit("")).isNotNull(), F.col(zone))
     shifted = F.timestamp_micros(F.unix_micros(local) - F.col("_offset").cast("long") * 60_000_000)
     if arrival and source:
-        unknown = parts.where(F.col("_unzoned") & home.isNull() & local.isNotNull())
-        offsets = estimate_offsets(unknown, source, arrival)
+        parts = cut_lineage(parts)  # read by the estimate and by the conversion, parsed once
+    if arrival and source and not parts.where(F.col("_unzoned") & home.isNull() & local.isNotNull()).isEmpty():
+        offsets = estimate_offsets(parts, source, arrival, zone)
         month = F.trunc(local.cast("date"), "month")
         guess = offsets.select(F.col(source).alias("_src"), F.col("_month").alias("_src_month"), "_estimated")
         needs = F.col("_unzoned") & home.isNull()

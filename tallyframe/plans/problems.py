@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyframe.operators.diff import ANNOTATION_FIELDS, annotation_differences, annotation_fields, diff_copies
-from tallyframe.operators.timestamps import invoice_dates, normalize_timestamps
+from tallyframe.operators.timestamps import estimate_offsets, invoice_dates, normalize_timestamps, parsed_parts
 from tallyframe.session import read_table
 
 
@@ -29,7 +29,14 @@ def p7_normal_forms(spark, d):
     return found.select("invoice_id", "invoice_date", "normal_form", F.when(F.length("normal_form") == 10, "day").when(F.col("normal_form").isNotNull(), "moment").otherwise("unreadable").alias("kind"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_all_copies": p5_all_copies, "p7_found": p7_found, "p7_normal_forms": p7_normal_forms}
+def p7_histories(spark, d):
+    """(office, month, minutes): the offsets of the offices, estimated as if no date stated a zone."""
+    rows = read_table(spark, d, "invoices").select(F.col("issuer_tz").alias("office"), "invoice_date", F.lit(None).cast("string").alias("zone"), "ingested_at")
+    found = estimate_offsets(parsed_parts(rows, "invoice_date", "zone"), "office", "ingested_at", "zone")
+    return found.select("office", F.col("_month").alias("month"), F.col("_estimated").alias("minutes"))
+
+
+QUERIES = {"p7_histories": p7_histories, "p5_found": p5_found, "p5_all_copies": p5_all_copies, "p7_found": p7_found, "p7_normal_forms": p7_normal_forms}
 
 
 def _side(table: str) -> str:

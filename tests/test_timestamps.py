@@ -2,7 +2,7 @@ import datetime as dt
 
 import pytest
 
-from tallyframe.operators.timestamps import invoice_dates, normalize_timestamps
+from tallyframe.operators.timestamps import invoice_dates, normalize_timestamps, offset_history
 
 CASES = [
     ("20251227", "Europe/Berlin", "2025-12-27"), ("2026-W08-3", "UTC", "2026-02-18"), ("2025-W53-1", "UTC", None), ("03/04/2025", "America/Chicago", "2025-03-04"),
@@ -43,3 +43,26 @@ def test_found_leaves_out_normal_and_unreadable(spark):
 def test_impossible_values(spark, text):
     df = spark.createDataFrame([(text, "UTC")], "t string, z string")
     assert normalize_timestamps(df, "t", "z").collect()[0].normal_form is None
+
+
+def test_history_joins_the_months(spark):
+    """A month without decisive records takes its neighbours' offset; a real change is kept; the usual delay decides ties."""
+    def scores(months):
+        return [(m, c, float(bad.get(c, 5)), 0.0) for m, bad in months for c in (-60, 0, 60, 120)]
+
+    assert offset_history(scores([(1, {60: 0}), (2, {0: 0, 60: 0, 120: 0, -60: 0}), (3, {60: 0})])) == {1: 60, 2: 60, 3: 60}
+    assert offset_history(scores([(1, {60: 0}), (2, {60: 0}), (3, {120: 0})])) == {1: 60, 2: 60, 3: 120}
+    assert offset_history(scores([(1, {60: 0}), (2, {60: 1, 120: 0}), (3, {60: 0})])) == {1: 60, 2: 60, 3: 60}
+
+
+def test_usual_delay_and_quarter_hours(spark):
+    """Records arrive 30 hours late, always; those with a zone tell, and +05:45 can be chosen."""
+    base = dt.datetime(2025, 3, 1, 6)
+    rows = []
+    for d in range(40):
+        utc, at = base + dt.timedelta(days=d), base + dt.timedelta(days=d, hours=30)
+        local = utc + dt.timedelta(hours=5, minutes=45)
+        rows.append(("s", local.isoformat(sep=" ") + (" +05:45" if d % 4 == 0 else ""), None, at))
+    df = spark.createDataFrame(rows, "src string, t string, z string, at timestamp")
+    got = sorted(r.normal_form for r in normalize_timestamps(df, "t", "z", "at", "src").collect())
+    assert got == [(base + dt.timedelta(days=d)).strftime("%Y-%m-%dT%H:%M:%S.000000Z") for d in range(40)]
