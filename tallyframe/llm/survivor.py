@@ -20,11 +20,9 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.numbers import let
 from tallyframe.functions.text import basename, collapse_key, strip
+from tallyframe.schemas import HEADER_FIELDS
 
-HEADER = [
-    "invoice_number", "po_number", "reference", "invoice_date", "currency", "seller_name", "seller_address",
-    "buyer_name", "buyer_address", "subtotal", "tax_amount", "total_amount", "payment_terms",
-]
+HEADER = HEADER_FIELDS
 
 # What people and programs write into a field that states nothing.
 PLACEHOLDERS = [
