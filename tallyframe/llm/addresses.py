@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.names import _near, linked_pairs, spelling_counts
+from tallyframe.llm.names import _near, follow_pointers, linked_pairs, spelling_counts
 from tallyframe.llm.spelling import deletions, fold, within_one
 from tallyframe.session import cut_lineage
 
@@ -240,9 +240,7 @@ def attributed_addresses(rows: DataFrame, columns: list[str]) -> DataFrame:
     better = near("town", "street").unionByName(near("street", "town"))
     best = better.groupBy("place").agg(F.max_by("to", "to_w").alias("to"))
     pointers = cut_lineage(places.select("place").join(best, "place", "left").select("place", F.coalesce("to", "place").alias("to")))
-    for _ in range(2):
-        step = pointers.select(F.col("place").alias("to"), F.col("to").alias("next"))
-        pointers = pointers.join(step, "to").select("place", F.col("next").alias("to"))
+    pointers = follow_pointers(pointers, "place")
     return signed.join(pointers, "place", "left").select("name", "n", F.coalesce("to", "place").alias("entity"))
 
 

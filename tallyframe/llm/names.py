@@ -22,7 +22,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,9 +73,21 @@ GROUP = {"group", "gruppe", "groupe", "grupo", "holding"}
 _NICK = {n: [g for g, short in GIVEN.items() if n in short.split()] for short in GIVEN.values() for n in short.split()}
 _VOWELS = set("aeiou")
 LN_SLIP, LN_ABBREVIATION, LN_SUBSEQUENCE, LN_NICK, LN_INITIAL, LN_NO_LEGAL, LN_BARE = -3.0, -1.5, -2.5, -1.5, -2.0, -0.5, -4.0
-# Two partners whose elements are one slip apart and who share business (or given name) and legal form are so rare
-# that the slip itself costs next to nothing: the more frequent element decides.
-LN_ELEMENT_SLIP = -0.05
+# A slip in the element. Swapped, doubled or dropped letters are so much commoner than two partners of one business (or
+# given name) and legal form with such near elements that the more frequent element decides; another letter in place of
+# one must be the rarer spelling by some measure, and another first letter by far, as it mostly makes another name.
+LN_MOVED, LN_REPLACED, LN_FIRST_LETTER = -0.05, -0.3, -3.0
+
+
+def element_slip(a: str, b: str) -> float | None:
+    """Log likelihood of one slip between two elements; 0 for equal ones, None for more than one slip."""
+    if a == b:
+        return 0.0
+    if not within_one(a, b):
+        return None
+    if len(a) != len(b) or sorted(a) == sorted(b):
+        return LN_MOVED if a[0] == b[0] or a[1:2] == b[0] or a[0] == b[1:2] else LN_FIRST_LETTER
+    return LN_REPLACED if a[0] == b[0] else LN_FIRST_LETTER
 
 
 def _trade(token: str, dotted: bool) -> list[tuple[str, float]]:
@@ -192,6 +204,25 @@ def _near(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([within_one(x, y) for x, y in zip(a, b)], dtype=bool)
 
 
+@F.pandas_udf(T.DoubleType())
+def _slip(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([element_slip(x, y) for x, y in zip(a, b)], dtype=float)
+
+
+def follow_pointers(pointers: DataFrame, key: str) -> DataFrame:
+    """(key, to) with every ``to`` at the end of its chain; each round doubles the reach, until none changes.
+
+    Two that point at each other end at the smaller id.
+    """
+    while True:
+        step = pointers.select(F.col(key).alias("to"), F.col("to").alias("_next"))
+        ahead = F.when(F.col("_next") == F.col(key), F.least(key, "to")).otherwise(F.col("_next"))
+        moved = cut_lineage(pointers.join(step, "to").select(key, ahead.alias("_end"), "to"))
+        pointers = moved.select(key, F.col("_end").alias("to"))
+        if moved.where("_end <> to").isEmpty():
+            return pointers
+
+
 def spelling_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
     """(name, n) of the distinct non-blank values of the columns, pre-aggregated."""
     return (
@@ -238,21 +269,17 @@ def attributed_names(rows: DataFrame, columns: list[str]) -> DataFrame:
         .groupBy("sig", "c_sig").agg(
             F.max("lp").alias("lp"), F.first("anchor").alias("anchor"), F.first("c_anchor").alias("c_anchor"), F.first("legal").alias("legal"),
             F.first("c_legal").alias("c_legal"), F.first("prior").alias("prior"))
-        .where((F.col("anchor") == F.col("c_anchor")) | _near("anchor", "c_anchor"))
+        .withColumn("slip", F.when(F.col("anchor") == F.col("c_anchor"), 0.0).otherwise(_slip.asNondeterministic()("anchor", "c_anchor"))).where("slip is not null and not isnan(slip)")
     )
     posterior = (
-        F.col("prior") + F.col("lp")
-        + F.when(F.col("anchor") != F.col("c_anchor"), LN_ELEMENT_SLIP).otherwise(0.0)
+        F.col("prior") + F.col("lp") + F.col("slip")
         + F.when(F.col("legal") != F.col("c_legal"), LN_NO_LEGAL).otherwise(0.0)
         + F.when(F.col("c_legal") == "", LN_NO_LEGAL * 2).otherwise(0.0)
     )
     best = met.groupBy("sig").agg(F.max(F.struct(F.bround(posterior, 9).alias("s"), "c_sig"))["c_sig"].alias("to"))
     pointers = cut_lineage(signatures.select("sig").join(best, "sig", "left").select("sig", F.coalesce("to", "sig").alias("to")))
-    # A canonical form may itself be a slip of a likelier one: follow the pointers to their end (two candidates
-    # that point at each other end at the smaller id).
-    for _ in range(2):
-        step = pointers.select(F.col("sig").alias("to"), F.col("to").alias("next"))
-        pointers = pointers.join(step, "to").select("sig", F.when(F.col("next") == F.col("sig"), F.least("sig", "to")).otherwise(F.col("next")).alias("to"))
+    # A canonical form may itself be a slip of a likelier one.
+    pointers = follow_pointers(pointers, "sig")
     # A bare element is the only partner of that element, if there is just one.
     bare = signatures.where("kind = 'bare'").select("sig", "anchor", F.explode("near").alias("form"))
     owners = canon.select("c_sig", "c_anchor", "form").distinct().join(pointers.select(F.col("sig").alias("c_sig"), "to"), "c_sig")
@@ -273,6 +300,5 @@ def linked_pairs(attributed: DataFrame, value: str = "name", left: str = "name_a
 
 def entity_sizes(attributed: DataFrame) -> DataFrame:
     """(name, n, entity, canonical, n_spellings): one row a value, as the compact form of the links."""
-    w = Window.partitionBy("entity")
     totals = attributed.groupBy("entity").agg(F.max_by("name", F.struct("n", "name")).alias("canonical"), F.count("*").alias("n_spellings"))
     return attributed.join(totals, "entity").select("name", "n", "canonical", "n_spellings")

@@ -42,3 +42,12 @@ def test_within_one_is_the_distance(a, b):
     assert within_one(a, b) == (distance(a, b) <= 1)
     if within_one(a, b):
         assert set(deletions(a)) & set(deletions(b))
+
+
+def test_other_first_letters_and_long_chains(spark):
+    """Another first letter makes another firm; a chain of slips ends at its most frequent form, however long it is."""
+    rows = [("Baker Trading Ltd",)] * 20 + [("Maker Trading Ltd",)] * 10 + [("Bakker Trading Ltd",)] * 2
+    df = spark.createDataFrame(rows, "a string")
+    assert [tuple(r) for r in names.linked_pairs(names.attributed_names(df, ["a"])).collect()] == [("Baker Trading Ltd", "Bakker Trading Ltd")]
+    chain = spark.createDataFrame([(i, min(i + 1, 40)) for i in range(41)], "sig bigint, to bigint")
+    assert {r.to for r in names.follow_pointers(chain, "sig").collect()} == {40}
